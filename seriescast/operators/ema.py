@@ -100,3 +100,20 @@ def emas(df: DataFrame, specs: list[Ema], source: DataFrame | None = None,
         })
         .drop("_seg", *[f"_{p}_{s.name}" for s in specs for p in "lc"])
     )
+
+
+def seeded_emas(df: DataFrame, specs: list[Ema], start: Column | None = None) -> DataFrame:
+    """As ``emas`` for short tails of series kept in one block each.
+
+    ``<name>_seed`` holds the average one row before the tail, or NULL where the tail
+    begins with the series; ``tail_start`` is the position of the first row of the tail.
+    """
+    begin = F.lit(0) if start is None else start
+    run = Window.partitionBy("ticker", "blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    j = F.col("pos") - F.col("tail_start")
+    columns = {}
+    for s in specs:
+        first = F.col(f"{s.name}_seed").isNull() & (F.col("pos") == begin)
+        local = F.sum(s.input(first) * F.pow(F.lit(s.decay), -j)).over(run) * F.pow(F.lit(s.decay), j)
+        columns[s.name] = local + F.coalesce(f"{s.name}_seed", F.lit(0.0)) * F.pow(F.lit(s.decay), j + 1)
+    return df.withColumns(columns)

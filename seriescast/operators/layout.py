@@ -81,15 +81,20 @@ def blocks(df: DataFrame, lookback: int, size: int = BLOCK) -> DataFrame:
 
 
 def with_series_values(df: DataFrame, per_series: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Add the columns of a one-row-per-series frame (which has ``n_rows``) to every row.
+    """Add the columns of a one-row-per-series frame to every row.
 
     The small side is repeated once per block, so the join runs on ``(ticker, blk)`` and a
-    huge series does not meet in one task.
+    huge series does not meet in one task.  An ``n_rows`` column of ``per_series`` says how
+    long its series are in ``df``; without one the lengths are read from ``df``.
     """
+    df = index_series(df)
+    if "n_rows" not in per_series.columns:
+        lengths = df.groupBy("ticker").agg(F.max("n_rows").alias("n_rows"))
+        per_series = per_series.join(lengths, "ticker")
     spread = per_series.withColumn(
         "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_rows - 1) div {size}")))
     ).drop("n_rows")
-    return index_series(df).withColumn("blk", block_of(size)).join(spread, ["ticker", "blk"]).drop("blk")
+    return df.withColumn("blk", block_of(size)).join(spread, ["ticker", "blk"]).drop("blk")
 
 
 def own_rows(df: DataFrame) -> DataFrame:

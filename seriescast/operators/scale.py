@@ -63,19 +63,39 @@ def unscaled(x: Column, c: str) -> Column:
     return x * F.when(F.col(_s(c)) == 0, 1.0).otherwise(F.col(_s(c))) + F.col(_c(c))
 
 
-def apply(df: DataFrame, params: DataFrame, columns: list[str], suffix: str = "") -> DataFrame:
-    """Scale ``columns`` in place, or into new columns when a suffix is given."""
-    used = params.select("ticker", "n_rows", *[f(c) for c in columns for f in (_c, _s)])
+def _parameters(params: DataFrame, columns: list[str], same: bool) -> tuple[DataFrame, list[str]]:
+    """Parameter columns in use; the lengths only hold for the series they were fitted on."""
+    used = [f(c) for c in columns for f in (_c, _s)]
+    return params.select("ticker", *(["n_rows"] if same else []), *used), used
+
+
+def apply(df: DataFrame, params: DataFrame, columns: list[str], suffix: str = "",
+          same: bool = False) -> DataFrame:
+    """Scale ``columns`` in place, or into new columns when a suffix is given.
+
+    ``same`` says that ``df`` has the very series the parameters were fitted on, which
+    saves counting them.
+    """
+    used, extra = _parameters(params, columns, same)
+    return with_series_values(df, used).withColumns(
+        {f"{c}{suffix}": scaled(c) for c in columns}).drop(*extra)
+
+
+def apply_with_label(df: DataFrame, params: DataFrame, columns: list[str], label: str,
+                     same: bool = False) -> DataFrame:
+    """Scale ``columns`` and keep how to undo the label's scaling: ``_center``, ``_spread``."""
+    used, extra = _parameters(params, [*columns, label], same)
+    spread = F.when(F.col(_s(label)) == 0, 1.0).otherwise(F.col(_s(label)))
     return with_series_values(df, used).withColumns(
-        {f"{c}{suffix}": scaled(c) for c in columns}).drop(*used.columns[2:])
+        {c: scaled(c) for c in columns} | {"_center": F.col(_c(label)), "_spread": spread}).drop(*extra)
 
 
-def invert(df: DataFrame, params: DataFrame, columns: dict[str, str]) -> DataFrame:
+def invert(df: DataFrame, params: DataFrame, columns: dict[str, str], same: bool = False) -> DataFrame:
     """Map scaled columns back; ``columns`` gives for each the column it was fitted on."""
     fitted = sorted(set(columns.values()))
-    used = params.select("ticker", "n_rows", *[f(c) for c in fitted for f in (_c, _s)])
+    used, extra = _parameters(params, fitted, same)
     return with_series_values(df, used).withColumns(
-        {name: unscaled(F.col(name), c) for name, c in columns.items()}).drop(*used.columns[2:])
+        {name: unscaled(F.col(name), c) for name, c in columns.items()}).drop(*extra)
 
 
 def long_parameters(params: DataFrame, columns: list[str]) -> DataFrame:

@@ -110,7 +110,7 @@ def sequences(df: DataFrame, features: list[str], label: str, length: int, start
     framed = blocks(df, length, block).withColumn(
         "sequence", F.collect_list(F.array(*[F.col(c).cast("double") for c in features])).over(before))
     return own_rows(framed).where(F.col("pos") - start >= length).select(
-        *[c for c in ("ticker", "ds", "pos", "split") if c in framed.columns],
+        *[c for c in ("ticker", "ds", "pos", "n_rows", "split") if c in framed.columns],
         "sequence", F.col(label).alias("label"))
 
 

@@ -24,11 +24,11 @@ from seriescast.queries.registry import (
     EPS,
     SQL_EVENT_BARS,
     over,
+    price,
     query,
-    rnd,
     shaped,
     sql_change,
-    sql_rnd,
+    sql_price,
     sql_series,
     sql_shaped,
 )
@@ -372,7 +372,7 @@ def days(spark, sf):
 
 @query("price_from_returns", f"""WITH {sql_series()},
 r AS (SELECT *, {SQL_LOGRET} AS r FROM s)
-SELECT ticker, ds, {sql_rnd(f'first_value(close) {over()} * exp(sum(r) {over()})', 1)} AS price FROM r""")
+SELECT ticker, ds, {sql_price(f'first_value(close) {over()} * exp(sum(r) {over()})')} AS price FROM r""")
 def price_from_returns(spark, sf):
     frame = own_rows(bars_frame(spark, sf, 1).withColumn("_r", W.log_return()))
-    return price_path(frame.drop("blk"), "_r", "close").select("ticker", "ds", rnd("price", 1).alias("price"))
+    return price_path(frame.drop("blk"), "_r", "close").select("ticker", "ds", price("price").alias("price"))

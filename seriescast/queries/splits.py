@@ -115,7 +115,7 @@ def train_rows(df):
 def scaled(spark, sf, kind):
     frame = split.index_series(fx.bars(spark, sf))
     params = scale.fit(train_rows(frame), SCALED, kind)
-    return scale.apply(frame, params, SCALED).select("ticker", "ds", *[rnd(c).alias(c) for c in SCALED])
+    return scale.apply(frame, params, SCALED, same=True).select("ticker", "ds", *[rnd(c).alias(c) for c in SCALED])
 
 
 @query("scale_minmax", sql_scaled("minmax"))
@@ -140,8 +140,8 @@ def scale_roundtrip(spark, sf):
     frame = split.index_series(fx.bars(spark, sf)).select("ticker", "ds", "pos", "n_rows", "close")
     for kind in ("minmax", "standard"):
         params = scale.fit(train_rows(frame), ["close"], kind)
-        frame = scale.apply(frame, params, ["close"], suffix=f"_{kind}")
-        frame = scale.invert(frame, params, {f"close_{kind}": "close"})
+        frame = scale.apply(frame, params, ["close"], suffix=f"_{kind}", same=True)
+        frame = scale.invert(frame, params, {f"close_{kind}": "close"}, same=True)
     return frame.select("ticker", "ds", rnd("close", 3).alias("close"),
                         rnd("close_minmax", 3).alias("back_minmax"),
                         rnd("close_standard", 3).alias("back_standard"))
@@ -169,4 +169,4 @@ SELECT ticker, ds, {sql_rnd('(sma_20 - lo) / sp')} AS sma_20 FROM a JOIN q USING
 def rf_scaled_features(spark, sf):
     frame = R.features_rf(fx.bars(spark, sf)).select("ticker", "ds", "pos", "n_rows", "sma_20")
     params = scale.fit(train_rows(frame), ["sma_20"], "minmax")
-    return scale.apply(frame, params, ["sma_20"]).select("ticker", "ds", rnd("sma_20").alias("sma_20"))
+    return scale.apply(frame, params, ["sma_20"], same=True).select("ticker", "ds", rnd("sma_20").alias("sma_20"))
