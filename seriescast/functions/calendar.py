@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,30 +11,19 @@ CYCLE_NAMES = ["day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos"]
 ONE_HOT_NAMES = [f"month_{m}" for m in range(1, 13)] + [f"dow_{d}" for d in range(7)]
 
 
-def calendar_parts(ds: str = "ds") -> dict[str, Column]:
-    """Monday is 0."""
-    return {
-        "day_of_week": F.weekday(ds),
-        "month": F.month(ds),
-        "quarter": F.quarter(ds),
-        "day_of_month": F.dayofmonth(ds),
-    }
+def calendar_parts(ds: str = "ds") -> dict[str, str]:
+    """Expression text per calendar part; Monday is 0."""
+    return dict(zip(PART_NAMES, (f"weekday({ds})", f"month({ds})", f"quarter({ds})", f"dayofmonth({ds})")))
 
 
-def calendar_cycles(ds: str = "ds") -> dict[str, Column]:
-    dow, month = 2 * math.pi * F.weekday(ds) / 7, 2 * math.pi * F.month(ds) / 12
-    return {
-        "day_of_week_sin": F.sin(dow),
-        "day_of_week_cos": F.cos(dow),
-        "month_sin": F.sin(month),
-        "month_cos": F.cos(month),
-    }
+def calendar_cycles(ds: str = "ds") -> dict[str, str]:
+    dow, month = f"2 * pi() * weekday({ds}) / 7", f"2 * pi() * month({ds}) / 12"
+    return dict(zip(CYCLE_NAMES, (f"sin({dow})", f"cos({dow})", f"sin({month})", f"cos({month})")))
 
 
-def one_hot_calendar(ds: str = "ds") -> dict[str, Column]:
-    months = {f"month_{m}": (F.month(ds) == m).cast("int") for m in range(1, 13)}
-    days = {f"dow_{d}": (F.weekday(ds) == d).cast("int") for d in range(7)}
-    return months | days
+def one_hot_calendar(ds: str = "ds") -> dict[str, str]:
+    months = {f"month_{m}": f"CAST(month({ds}) = {m} AS INT)" for m in range(1, 13)}
+    return months | {f"dow_{d}": f"CAST(weekday({ds}) = {d} AS INT)" for d in range(7)}
 
 
 def business_days(last: Column, horizon: int) -> Column:

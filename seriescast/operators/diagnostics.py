@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriescast.operators.layout import (
     BLOCK,
@@ -57,7 +58,7 @@ def acf(df: DataFrame, value: str = "residual", lags: int = LAGS, clamp: bool =
         (F.col("value") + F.col("_half")).alias("upper"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _levinson(cov: pd.Series) -> pd.Series:
     """Partial autocorrelations from autocovariances (at most a few dozen per series)."""
     def solve(r: np.ndarray) -> list[float]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.operators.layout import blocks, in_order, own_rows
-from seriescast.operators.windows import change
+from seriescast.operators.windows import add, change
 
 TINY = 2.220446049250313e-16
 # Upper bounds of the mean absolute percentage error and their labels.
@@ -60,8 +60,7 @@ def error_band(mape: Column) -> Column:
 
 def historical_volatility(bars: DataFrame, price: str = "close") -> DataFrame:
     """Sample deviation of one-step changes and the daily range derived from it."""
-    moves = own_rows(blocks(bars, 1).withColumn(
-        "_r", F.when(F.col("pos") > 0, change(price))))
+    moves = own_rows(add(blocks(bars, 1), {"_r": f"CASE WHEN pos > 0 THEN {change(price)} END"}))
     return moves.groupBy("ticker").agg(F.stddev_samp("_r").alias("volatility")).withColumn(
         "daily_range", F.greatest(F.lit(0.005), F.coalesce(0.5 * F.col("volatility"), F.lit(0.005))))
 

@@ -31,12 +31,12 @@ def fit(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     length = F.max("n_rows").alias("n_rows")
     if kind == "minmax":
         return df.groupBy("ticker").agg(length, *[
-            a for c in columns
-            for a in (F.min(c).cast("double").alias(_c(c)), (F.max(c) - F.min(c)).cast("double").alias(_s(c)))
+            F.expr(t) for c in columns
+            for t in (f"CAST(min({c}) AS DOUBLE) AS {_c(c)}", f"CAST(max({c}) - min({c}) AS DOUBLE) AS {_s(c)}")
         ])
     if kind == "standard":
         return df.groupBy("ticker").agg(length, *[
-            a for c in columns for a in (F.avg(c).alias(_c(c)), F.stddev_pop(c).alias(_s(c)))
+            F.expr(t) for c in columns for t in (f"avg({c}) AS {_c(c)}", f"stddev_pop({c}) AS {_s(c)}")
         ])
     if kind == "robust":
         names = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
@@ -54,13 +54,17 @@ def fit(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     raise ValueError(f"unknown scaler {kind!r}, available: {KINDS}")
 
 
-def scaled(c: str) -> Column:
+def _divisor(c: str) -> str:
     # like the usual scalers, a column without spread is only centred
-    return (F.col(c) - F.col(_c(c))) / F.when(F.col(_s(c)) == 0, 1.0).otherwise(F.col(_s(c)))
+    return f"if({_s(c)} = 0, 1D, {_s(c)})"
+
+
+def scaled(c: str) -> Column:
+    return F.expr(f"({c} - {_c(c)}) / {_divisor(c)}")
 
 
-def unscaled(x: Column, c: str) -> Column:
-    return x * F.when(F.col(_s(c)) == 0, 1.0).otherwise(F.col(_s(c))) + F.col(_c(c))
+def unscaled(x: str, c: str) -> Column:
+    return F.expr(f"{x} * {_divisor(c)} + {_c(c)}")
 
 
 def _parameters(params: DataFrame, columns: list[str], same: bool) -> tuple[DataFrame, list[str]]:
@@ -85,9 +89,8 @@ def apply_with_label(df: DataFrame, params: DataFrame, columns: list[str], label
                      same: bool = False) -> DataFrame:
     """Scale ``columns`` and keep how to undo the label's scaling: ``_center``, ``_spread``."""
     used, extra = _parameters(params, [*columns, label], same)
-    spread = F.when(F.col(_s(label)) == 0, 1.0).otherwise(F.col(_s(label)))
     return with_series_values(df, used).withColumns(
-        {c: scaled(c) for c in columns} | {"_center": F.col(_c(label)), "_spread": spread}).drop(*extra)
+        {c: scaled(c) for c in columns} | {"_center": F.col(_c(label)), "_spread": F.expr(_divisor(label))}).drop(*extra)
 
 
 def invert(df: DataFrame, params: DataFrame, columns: dict[str, str], same: bool = False) -> DataFrame:
@@ -95,7 +98,7 @@ def invert(df: DataFrame, params: DataFrame, columns: dict[str, str], same: bool
     fitted = sorted(set(columns.values()))
     used, extra = _parameters(params, fitted, same)
     return with_series_values(df, used).withColumns(
-        {name: unscaled(F.col(name), c) for name, c in columns.items()}).drop(*extra)
+        {name: unscaled(name, c) for name, c in columns.items()}).drop(*extra)
 
 
 def long_parameters(params: DataFrame, columns: list[str]) -> DataFrame:

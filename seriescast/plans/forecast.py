@@ -22,7 +22,7 @@ from seriescast.operators.layout import blocks, in_order, index_series, own_rows
 from seriescast.operators.metrics import historical_volatility, interval_from_draws
 from seriescast.operators.quantiles import exact_quantiles
 from seriescast.plans import recipes as R
-from seriescast.plans.models import TrainedModel, flatten_sequences
+from seriescast.plans.models import TrainedModel, flatten_sequences, tree_predictions
 from seriescast.sources.storage import fresh_path, materialize
 
 ATR = Ema("true_range", "atr_14", 1 / 14)
@@ -79,12 +79,12 @@ def _seeds(indexed: DataFrame, rows: int, kind: str, n_lags: int) -> DataFrame:
     at = F.col("pos") == F.col("n_rows") - rows - 1
     framed = emas(blocks(indexed, 1), R.CLOSE_EMAS, source)
     if kind == "seq":
-        ranged = own_rows(blocks(indexed, 1).withColumn("true_range", W.true_range()))
-        framed = emas(framed.withColumn("true_range", W.true_range()), [ATR], ranged)
+        ranged = own_rows(blocks(indexed, 1).withColumn("true_range", F.expr(W.true_range())))
+        framed = emas(framed.withColumn("true_range", F.expr(W.true_range())), [ATR], ranged)
     framed = own_rows(framed)
     if kind == "rf":
-        deep = framed.withColumn("lag_depth", W.lag_depth(n_lags)).where(F.col("pos") >= F.col("lag_depth"))
-        framed = R.add_macd(deep, source.withColumn("lag_depth", W.lag_depth(n_lags)), R.BLOCK)
+        deep = framed.withColumn("lag_depth", F.expr(W.lag_depth(n_lags))).where("pos >= lag_depth")
+        framed = R.add_macd(deep, source.withColumn("lag_depth", F.expr(W.lag_depth(n_lags))), R.BLOCK)
     null = F.lit(None).cast("double")
     return framed.where(at).select("ticker", *[
         (F.col(s) if s in framed.columns else null).alias(f"{s}_seed") for s in SEEDS])
@@ -96,8 +96,9 @@ def start_state(bars: DataFrame, model: TrainedModel) -> tuple[DataFrame, DataFr
     rows = tail_rows(model)
     framed = blocks(indexed, 1)
     if "green_day" not in indexed.columns:
-        framed = framed.withColumn("green_day", W.green_day())
-    tails = split.tail(own_rows(framed), rows)
+        framed = W.add(framed, {"green_day": W.green_day()})
+    # one row more than the tail, so that its first row still has a row before it
+    tails = split.tail(own_rows(framed), rows + 1)
     keep = [*STATE, *(["volume"] if "volume" in bars.columns else [])]
     constants = (
         split.last_row(indexed).select(
@@ -111,11 +112,13 @@ def start_state(bars: DataFrame, model: TrainedModel) -> tuple[DataFrame, DataFr
 
 def _features(tails: DataFrame, model: TrainedModel) -> DataFrame:
     """The recipe of the model on tails; positions are those of the whole series."""
+    in_tail = F.col("pos") >= F.col("tail_start")
     frame = tails.withColumn("blk", F.lit(0))
     if model.kind == "seq":
-        frame = frame.withColumn("true_range", W.true_range())
+        frame = frame.withColumn("true_range", F.expr(W.true_range())).where(in_tail)
         frame = seeded_emas(frame, [*R.CLOSE_EMAS, ATR])
         return R.trim_to_lags(R.seq_columns(R.base_columns(frame), "close"), "close", model.n_lags)
+    frame = frame.where(in_tail)
     frame = R.trim_to_lags(R.base_columns(seeded_emas(frame, R.CLOSE_EMAS)), "close", model.n_lags)
     if model.kind == "xgb":
         return R.xgb_columns(frame, R.XGB_HORIZONS)
@@ -139,7 +142,9 @@ def predict_next(tails: DataFrame, model: TrainedModel) -> DataFrame:
         scored = _sequence_returns(features, model, length, width)
         return scored.select("ticker", *[
             (F.col("last_close") * F.exp(c)).alias(c) for c in ("prediction", "lower_bound", "upper_bound")])
-    rows = _one_row_each(features.where(last).select("ticker", "pos", "n_rows", *model.names))
+    # scoring adds a stage per tree; on stored rows those stay cheap to plan
+    rows = _one_row_each(materialize(
+        features.where(last).select("ticker", "pos", "n_rows", *model.names), "latest"))
     if model.kind == "xgb":
         p = model.score(rows)
         return p.select("ticker", F.col("yhat").alias("prediction"), F.col("yhat").alias("lower_bound"),
@@ -161,12 +166,9 @@ def _sequence_returns(features: DataFrame, model: TrainedModel, length: int, wid
         F.struct("pos", F.array(*[F.col(c).cast("double") for c in model.names]).alias("v"))))
     seq = scaled.groupBy("ticker", "_center", "_spread").agg(
         F.transform(packed, lambda r: r["v"]).alias("sequence")).where(F.size("sequence") == length)
-    flat, cells = flatten_sequences(seq, length, width)
+    flat, cells = flatten_sequences(materialize(seq, "latest"), length, width)
     staged = model.pipeline.stages[0].transform(flat)
-    trees = []
-    for i, tree in enumerate(model.regressor.trees):
-        trees.append(f"_tree_{i}")
-        staged = tree.setPredictionCol(trees[-1]).transform(staged)
+    staged, trees = tree_predictions(model.regressor, staged.drop("sequence", *cells))
     drawn = staged.select("ticker", F.explode(F.array(*[
         F.col(t) * F.col("_spread") + F.col("_center") for t in trees])).alias("value"))
     return interval_from_draws(drawn, ["ticker"]).join(closing, "ticker")
@@ -191,7 +193,7 @@ def forecast(model: TrainedModel, bars: DataFrame, horizon: int, calendar: str =
         if "volume" in tails.columns:
             bar["volume"] = F.col("volume")
             if model.kind == "seq":
-                latest = latest.withColumn("volume", F.avg("volume").over(W.last_k(5)))
+                latest = W.add(latest, {"volume": W.mean("volume", 5)})
         latest = latest.where(F.col("pos") == F.col("n_rows") - 1).join(predicted, "ticker")
         row = latest.select(
             "ticker", (F.col("pos") + 1).alias("pos"),

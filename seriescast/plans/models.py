@@ -95,13 +95,10 @@ class TrainedModel:
         staged = self._scaled(frame, same)
         for stage in self.pipeline.stages[:-1]:
             staged = stage.transform(staged)
-        columns = []
-        for i, tree in enumerate(self.regressor.trees):
-            columns.append(f"_tree_{i}")
-            staged = tree.setPredictionCol(columns[-1]).transform(staged)
+        staged, columns = tree_predictions(self.regressor, staged.drop(*self.names))
         unscaled = [F.col(c) * F.col("_spread") + F.col("_center") for c in columns]
         return staged.withColumn("draws", F.array(*unscaled)).drop(
-            "features", "chosen", "_center", "_spread", *columns, *self.names)
+            "features", "chosen", "_center", "_spread", *columns)
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """Rows ``(name, importance)`` of the selected features; one per feature."""
@@ -130,6 +127,15 @@ class TrainedModel:
         return model
 
 
+def tree_predictions(forest, frame: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One prediction column per tree of a forest."""
+    columns = []
+    for i, tree in enumerate(forest.trees):
+        columns.append(f"_tree_{i}")
+        frame = tree.setPredictionCol(columns[-1]).transform(frame)
+    return frame, columns
+
+
 def assembler(names: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=names, outputCol="features")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.functions.calendar import (
@@ -52,91 +52,74 @@ def base_columns(frame: DataFrame) -> DataFrame:
     moves = {"_up": W.up_move(), "_down": W.down_move()}
     if "green_day" not in frame.columns:
         moves["green_day"] = W.green_day()
-    return frame.withColumns(moves).withColumns(
+    indicators = (
         {f"sma_{k}": W.sma(k) for k in SMA_WINDOWS}
-        | {"rsi": W.rsi("_up", "_down"), "volatility_20d": W.relative_volatility()}
+        | {"rsi": W.rsi(), "volatility_20d": W.relative_volatility()}
         | {f"price_change_{k}d": W.price_change(k) for k in CHANGE_PERIODS}
         | calendar_parts() | calendar_cycles()
-    ).drop("_up", "_down")
+    )
+    return W.add(W.add(frame, moves), indicators).drop("_up", "_down")
 
 
 def trim_to_lags(frame: DataFrame, price: str, n_lags: int) -> DataFrame:
     """Add the lag columns and drop the rows that have not all of them."""
-    return (
-        frame.withColumn("lag_depth", W.lag_depth(n_lags))
-        .withColumns(W.lag_columns(price, n_lags))
-        .where(F.col("pos") >= F.col("lag_depth"))
-    )
+    deep = W.add(frame, {"lag_depth": W.lag_depth(n_lags)})
+    return W.add(deep, W.lag_columns(price, n_lags)).where("pos >= lag_depth")
 
 
 def recount(frame: DataFrame) -> DataFrame:
     """Renumber a trimmed frame from 0."""
-    return (
-        frame.withColumn("pos", F.col("pos") - F.col("lag_depth"))
-        .withColumn("n_rows", F.col("n_rows") - F.col("lag_depth"))
-        .drop("lag_depth", "blk")
-    )
+    return W.add(frame, {"pos": "pos - lag_depth", "n_rows": "n_rows - lag_depth"}).drop("lag_depth", "blk")
+
+
+TRIMMED = "(n_rows - lag_depth)"
 
 
 def rf_columns(frame: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Ratio, trend, momentum, band and volume columns on the trimmed frame."""
-    n = F.col("n_rows") - F.col("lag_depth")
-    cols: dict[str, Column] = {}
+    cols = {"_std": W.std("close", 20)}
     for h in horizons:
-        cols[f"close_ratio_{h}d_ma"] = W.ratio_to_mean("close", h, n > h)
-        cols[f"trend_{h}d_ma"] = W.trend("_prev_green", h, n)
-        cols[f"momentum_{h}d"] = W.momentum(h, n=n)
-    cols["_std"] = W.std("close", 20)
+        cols[f"close_ratio_{h}d_ma"] = W.ratio_to_mean("close", h, h + 1, TRIMMED)
+        cols[f"trend_{h}d_ma"] = W.trend("_prev_green", h, TRIMMED)
+        cols[f"momentum_{h}d"] = W.momentum(h, n=TRIMMED)
     if "volume" in frame.columns:
         cols["volume_change"] = W.change("volume")
         for k in VOLUME_WINDOWS:
-            cols[f"volume_ratio_{k}d"] = W.ratio_to_mean("volume", k, n >= k)
-    return (
-        frame.withColumn("_prev_green", W.lag("green_day"))
-        .withColumns(cols)
-        .withColumns(bollinger(F.col("sma_20"), F.col("_std")))
-        .drop("_prev_green", "_std")
-    )
-
-
-def bollinger(mid: Column, std: Column, price: str = "close") -> dict[str, Column]:
-    upper, lower = mid + 2 * std, mid - 2 * std
-    return {
-        "bb_upper": upper,
-        "bb_lower": lower,
-        "bb_position": (F.col(price) - lower) / (upper - lower + W.EPS),
-    }
+            cols[f"volume_ratio_{k}d"] = W.ratio_to_mean("volume", k, k, TRIMMED)
+    rolled = W.add(W.add(frame, {"_prev_green": W.lag("green_day")}), cols)
+    return W.add(rolled, W.bollinger("sma_20", "_std")).drop("_prev_green", "_std")
 
 
 def xgb_columns(frame: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Distances to rolling means and extremes, oscillators and one-hot dates."""
-    n = F.col("n_rows") - F.col("lag_depth")
     ranged = {"high": "high", "low": "low"} if {"high", "low"} <= set(frame.columns) else {
         "high": "close", "low": "close"}
-    cols: dict[str, Column] = {}
+    cols: dict[str, str] = {}
     for h in horizons:
         avg, hi, lo = W.mean("close", h), W.highest("close", h), W.lowest("close", h)
-        cols[f"close_to_mean_{h}"] = F.when(n > h, F.col("close") / (avg + W.EPS))
-        cols[f"close_to_max_{h}"] = F.when(n > h, F.col("close") / (hi + W.EPS))
-        cols[f"close_to_min_{h}"] = F.when(n > h, F.col("close") / (lo + W.EPS))
-        cols[f"range_ratio_{h}"] = F.when(n > h, (hi - lo) / (avg + W.EPS))
-    cols["stoch_k"] = W.stochastic(n=n, **ranged)
-    cols["williams_r"] = W.williams(n=n, **ranged)
-    return frame.withColumns(cols | one_hot_calendar())
+        for name, text in (
+            ("close_to_mean", f"close / ({avg} + {W.EPS})"),
+            ("close_to_max", f"close / ({hi} + {W.EPS})"),
+            ("close_to_min", f"close / ({lo} + {W.EPS})"),
+            ("range_ratio", f"({hi} - {lo}) / ({avg} + {W.EPS})"),
+        ):
+            cols[f"{name}_{h}"] = W.at_least(h + 1, text, TRIMMED)
+    cols["stoch_k"] = W.stochastic(n=TRIMMED, **ranged)
+    cols["williams_r"] = W.williams(n=TRIMMED, **ranged)
+    return W.add(frame, cols | one_hot_calendar())
 
 
 def seq_columns(frame: DataFrame, price: str) -> DataFrame:
     """Returns and other near-stationary columns; ``target`` is the log return."""
-    cols: dict[str, Column] = {"target": W.log_return(price)}
+    cols = {"target": W.log_return(price), "bb_width": W.band_width(price=price)}
     for k in RATIO_WINDOWS:
-        cols[f"price_ma_ratio_{k}"] = W.ratio_to_mean(price, k, F.col("n_rows") >= k)
+        cols[f"price_ma_ratio_{k}"] = W.ratio_to_mean(price, k, k)
     for k in VOLATILITY_WINDOWS:
-        cols[f"volatility_{k}"] = F.when(F.col("n_rows") >= k, W.std("_returns", k))
-    cols["bb_width"] = W.band_width(price=price)
+        cols[f"volatility_{k}"] = W.at_least(k, W.std("_returns", k))
     if "volume" in frame.columns:
         cols["volume_returns"] = W.change("volume")
-        cols["volume_normalized"] = W.ratio_to_mean("volume", 20, F.lit(True))
-    return frame.withColumn("_returns", W.change(price)).withColumns(cols).drop("_returns")
+        cols["volume_normalized"] = W.ratio_to_mean("volume", 20)
+    return W.add(W.add(frame, {"_returns": W.change(price)}), cols).drop("_returns")
 
 
 def add_macd(frame: DataFrame, source: DataFrame, block: int) -> DataFrame:
@@ -145,7 +128,7 @@ def add_macd(frame: DataFrame, source: DataFrame, block: int) -> DataFrame:
     narrow = (
         emas(blocks(source, 0, block), CLOSE_EMAS, source, block=block)
         .select("ticker", "pos", "lag_depth", macd.alias("macd"))
-        .where(F.col("pos") >= F.col("lag_depth"))
+        .where("pos >= lag_depth")
     )
     return emas(
         frame.withColumn("macd", macd), [Ema.span("macd", "macd_signal", 9)], narrow,
@@ -166,10 +149,8 @@ def features_base(bars: DataFrame, block: int = BLOCK) -> DataFrame:
     frame, _ = _framed(bars, ["close"], 52, block)
     filled = base_columns(frame)
     # only the spread of a single row is undefined, and the row after it is in the same block
-    later = F.lead("volatility_20d").over(W.in_order())
-    return own_rows(
-        filled.withColumn("volatility_20d", F.coalesce("volatility_20d", later))
-    ).drop("blk")
+    later = f"lead(volatility_20d) {W.over()}"
+    return own_rows(W.add(filled, {"volatility_20d": f"coalesce(volatility_20d, {later})"})).drop("blk")
 
 
 def features_rf(bars: DataFrame, n_lags: int = 10, horizons: tuple[int, ...] = RF_HORIZONS,
@@ -177,7 +158,7 @@ def features_rf(bars: DataFrame, n_lags: int = 10, horizons: tuple[int, ...] = R
     lookback = max(52, n_lags, max(horizons) + 2)
     frame, source = _framed(bars, ["open", "high", "low", "close"], lookback, block)
     kept = rf_columns(trim_to_lags(base_columns(frame), "close", n_lags), horizons)
-    source = source.withColumn("lag_depth", W.lag_depth(n_lags))
+    source = W.add(source, {"lag_depth": W.lag_depth(n_lags)})
     return recount(add_macd(own_rows(kept), source, block))
 
 
@@ -193,34 +174,30 @@ def features_seq(bars: DataFrame, n_lags: int = 5, price: str = "close",
                  block: int = BLOCK) -> DataFrame:
     frame, _ = _framed(bars, ["close", price], max(52, n_lags), block)
     if {"high", "low"} <= set(bars.columns):
-        ranged = own_rows(
-            blocks(index_series(bars), 1, block).withColumn("true_range", W.true_range(price=price)))
-        frame = emas(frame.withColumn("true_range", W.true_range(price=price)),
-                     [Ema("true_range", "atr_14", 1 / 14)], ranged, block=block).drop("true_range")
+        reach = {"true_range": W.true_range(price=price)}
+        ranged = own_rows(W.add(blocks(index_series(bars), 1, block), reach))
+        frame = emas(W.add(frame, reach), [Ema("true_range", "atr_14", 1 / 14)], ranged,
+                     block=block).drop("true_range")
     kept = own_rows(trim_to_lags(seq_columns(base_columns(frame), price), price, n_lags))
     names = seq_names(n_lags, bars.columns, price)
     guards = seq_guards()
-    usable = F.lit(True)
+    usable = []
     for c in [*names, "target"]:
-        x = F.col(c).cast("double")
-        present = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != W.INF)
-        usable = usable & ((F.col("n_rows") < guards[c]) | present if c in guards else present)
+        present = f"({c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) <> double('Infinity'))"
+        usable.append(f"(n_rows < {guards[c]} OR {present})" if c in guards else present)
     # a dropped infinity may leave a hole anywhere, so the old positions are not handed on
-    return kept.where(usable).select("ticker", "ds", *names, "target", F.col(price).alias("price"))
+    return kept.where(" AND ".join(usable)).select("ticker", "ds", *names, "target", F.col(price).alias("price"))
 
 
 def features_additive(bars: DataFrame, target: str = "close", block: int = BLOCK) -> DataFrame:
     """``ds, y`` and the extra regressors."""
     require_columns(bars, [target])
-    frame = blocks(bars, 22, block).withColumns({"_up": W.up_move(), "_down": W.down_move()})
-    cols = {
-        "rsi": F.when(F.col("n_rows") >= 14, W.rsi("_up", "_down")),
-        "price_to_ma": W.ratio_to_mean("close", 20, F.col("n_rows") >= 20),
-    }
+    frame = W.add(blocks(bars, 22, block), {"_up": W.up_move(), "_down": W.down_move()})
+    cols = {"rsi": W.rsi(short="CAST(NULL AS DOUBLE)"), "price_to_ma": W.ratio_to_mean("close", 20, 20)}
     if "volume" in bars.columns:
         cols["volume_ma"] = W.mean("volume", 7)
         cols["volume_trend"] = W.change("volume")
-    return own_rows(frame.withColumns(cols)).select(
+    return own_rows(W.add(frame, cols)).select(
         "ticker", F.col("ds").cast("date").alias("ds"), "pos", "n_rows", F.col(target).alias("y"), *cols)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seriescast.operators import diagnostics, metrics
 from seriescast.operators.align import previous_price, residuals
 from seriescast.operators.layout import blocks, in_order, own_rows
-from seriescast.operators.windows import log_return
+from seriescast.operators.windows import add, lag, log_return
 from seriescast.queries.registry import over, price, query, rnd, sql_price, sql_rnd, sql_series
 from seriescast.sources import fixtures as fx
 
@@ -64,8 +64,7 @@ SELECT ticker, count(*) AS n, {sql_rnd('sqrt(avg((y - yhat) * (y - yhat)))', 2)}
        {sql_rnd('avg(abs(y - yhat))', 2)} AS mae, {sql_rnd('avg(abs(y - yhat) / abs(y))', 5)} AS mape
 FROM k GROUP BY 1""")
 def from_returns(spark, sf):
-    frame = blocks(fx.bars(spark, sf), 2).withColumns(
-        {"r": log_return(), "previous": F.lag("close").over(in_order())})
+    frame = add(blocks(fx.bars(spark, sf), 2), {"r": log_return(), "previous": lag("close")})
     frame = own_rows(frame.withColumn("r_hat", F.lag("r").over(in_order()))).where("pos > 1")
     m = metrics.price_metrics(frame, ["ticker"], "previous", "r", "r_hat")
     return m.select("ticker", "n", rnd("rmse", 2).alias("rmse"), rnd("mae", 2).alias("mae"),

@@ -72,7 +72,7 @@ SMAS = [f"sma_{k}" for k in R.SMA_WINDOWS]
 
 @query("sma", simple(SMAS, [f"CASE WHEN n >= {k} THEN avg(close) {over(k)} END" for k in R.SMA_WINDOWS]))
 def sma(spark, sf):
-    return finish(bars_frame(spark, sf).withColumns({f"sma_{k}": W.sma(k) for k in R.SMA_WINDOWS}), SMAS)
+    return finish(W.add(bars_frame(spark, sf), {f"sma_{k}": W.sma(k) for k in R.SMA_WINDOWS}), SMAS)
 
 
 def sql_recursion(name, start, step, source="s"):
@@ -112,8 +112,8 @@ SQL_RSI = f"100 - 100 / (1 + avg(up_) {over(14)} / (avg(down_) {over(14)} + {EPS
 
 @query("rsi", simple(["rsi"], [f"CASE WHEN n >= 14 THEN {SQL_RSI} ELSE 50 END"], sql_moves()))
 def rsi(spark, sf):
-    frame = bars_frame(spark, sf).withColumns({"_up": W.up_move(), "_down": W.down_move()})
-    return finish(frame.withColumn("rsi", W.rsi("_up", "_down")), ["rsi"])
+    frame = W.add(bars_frame(spark, sf), {"_up": W.up_move(), "_down": W.down_move()})
+    return finish(W.add(frame, {"rsi": W.rsi()}), ["rsi"])
 
 
 SQL_VOL20 = f"CASE WHEN n >= 20 THEN stddev_samp(close) {over(20)} / (avg(close) {over(20)} + {EPS}) END"
@@ -121,7 +121,7 @@ SQL_VOL20 = f"CASE WHEN n >= 20 THEN stddev_samp(close) {over(20)} / (avg(close)
 
 @query("volatility_20d", simple(["volatility_20d"], [SQL_VOL20]))
 def volatility(spark, sf):
-    return finish(bars_frame(spark, sf).withColumn("volatility_20d", W.relative_volatility()),
+    return finish(W.add(bars_frame(spark, sf), {"volatility_20d": W.relative_volatility()}),
                   ["volatility_20d"])
 
 
@@ -130,7 +130,7 @@ CHANGES = [f"price_change_{k}d" for k in R.CHANGE_PERIODS]
 
 @query("price_change", simple(CHANGES, [sql_change("close", k) for k in R.CHANGE_PERIODS]))
 def price_change(spark, sf):
-    return finish(bars_frame(spark, sf).withColumns(
+    return finish(W.add(bars_frame(spark, sf), 
         {f"price_change_{k}d": W.price_change(k) for k in R.CHANGE_PERIODS}), CHANGES)
 
 
@@ -156,8 +156,8 @@ RATIOS = [f"close_ratio_{h}d_ma" for h in RF_H]
 @query("rf_ratio", simple(RATIOS, [
     f"CASE WHEN n > {h} THEN close / (avg(close) {over(h)} + {EPS}) END" for h in RF_H]))
 def rf_ratio(spark, sf):
-    return finish(bars_frame(spark, sf).withColumns(
-        {f"close_ratio_{h}d_ma": W.ratio_to_mean("close", h, F.col("n_rows") > h) for h in RF_H}), RATIOS)
+    return finish(W.add(bars_frame(spark, sf), 
+        {f"close_ratio_{h}d_ma": W.ratio_to_mean("close", h, h + 1) for h in RF_H}), RATIOS)
 
 
 TRENDS = [f"trend_{h}d_ma" for h in RF_H]
@@ -169,9 +169,9 @@ g AS (SELECT *, {SQL_GREEN} AS green_day FROM s),
 q AS (SELECT *, lag(green_day) {over()} AS prev FROM g),
 r AS (SELECT ticker, ds, {', '.join(f'CASE WHEN n > {h} THEN sum(prev) {over(h)} END AS trend_{h}d_ma' for h in RF_H)} FROM q)""", "r"))
 def rf_trend(spark, sf):
-    frame = bars_frame(spark, sf).withColumn("green_day", W.green_day())
-    frame = frame.withColumn("_prev", W.lag("green_day"))
-    return finish(frame.withColumns({f"trend_{h}d_ma": W.trend("_prev", h) for h in RF_H}), TRENDS)
+    frame = W.add(bars_frame(spark, sf), {"green_day": W.green_day()})
+    frame = W.add(frame, {"_prev": W.lag("green_day")})
+    return finish(W.add(frame, {f"trend_{h}d_ma": W.trend("_prev", h) for h in RF_H}), TRENDS)
 
 
 MOMENTA = [f"momentum_{h}d" for h in RF_H]
@@ -180,7 +180,7 @@ MOMENTA = [f"momentum_{h}d" for h in RF_H]
 @query("rf_momentum", simple(MOMENTA, [
     f"CASE WHEN n > {h} THEN close / lag(close, {h}) {over()} - 1 END" for h in RF_H]))
 def rf_momentum(spark, sf):
-    return finish(bars_frame(spark, sf).withColumns({f"momentum_{h}d": W.momentum(h) for h in RF_H}), MOMENTA)
+    return finish(W.add(bars_frame(spark, sf), {f"momentum_{h}d": W.momentum(h) for h in RF_H}), MOMENTA)
 
 
 BANDS = ["bb_upper", "bb_lower", "bb_position"]
@@ -191,8 +191,8 @@ r AS (SELECT ticker, ds, mid + 2 * sd AS bb_upper, mid - 2 * sd AS bb_lower,
 
 @query("bollinger", sql(BANDS, f"{sql_series()}, {SQL_BANDS}", "r"))
 def bollinger(spark, sf):
-    frame = bars_frame(spark, sf).withColumns({"_mid": W.sma(20), "_sd": W.std("close", 20)})
-    return finish(frame.withColumns(R.bollinger(F.col("_mid"), F.col("_sd"))), BANDS)
+    frame = W.add(bars_frame(spark, sf), {"_mid": W.sma(20), "_sd": W.std("close", 20)})
+    return finish(W.add(frame, W.bollinger("_mid", "_sd")), BANDS)
 
 
 MACD = ["macd", "macd_signal", "macd_histogram"]
@@ -218,8 +218,8 @@ VOLS = ["volume_change", *[f"volume_ratio_{k}d" for k in R.VOLUME_WINDOWS]]
     f"CASE WHEN n >= {k} THEN volume / (avg(volume) {over(k)} + {EPS}) END" for k in R.VOLUME_WINDOWS]]))
 def rf_volume(spark, sf):
     cols = {"volume_change": W.change("volume")} | {
-        f"volume_ratio_{k}d": W.ratio_to_mean("volume", k, F.col("n_rows") >= k) for k in R.VOLUME_WINDOWS}
-    return finish(bars_frame(spark, sf).withColumns(cols), VOLS)
+        f"volume_ratio_{k}d": W.ratio_to_mean("volume", k, k) for k in R.VOLUME_WINDOWS}
+    return finish(W.add(bars_frame(spark, sf), cols), VOLS)
 
 
 SQL_LOGRET = f"coalesce(ln(close / lag(close) {over()}), 0)"
@@ -227,7 +227,7 @@ SQL_LOGRET = f"coalesce(ln(close / lag(close) {over()}), 0)"
 
 @query("returns", simple(["returns", "log_returns"], [sql_change("close"), SQL_LOGRET]))
 def returns(spark, sf):
-    return finish(bars_frame(spark, sf, 1).withColumns(
+    return finish(W.add(bars_frame(spark, sf, 1), 
         {"returns": W.change("close"), "log_returns": W.log_return()}), ["returns", "log_returns"])
 
 
@@ -238,9 +238,9 @@ RVOLS = [f"volatility_{k}" for k in R.VOLATILITY_WINDOWS]
     f"CASE WHEN n >= {k} THEN stddev_samp(ret) {over(k)} END" for k in R.VOLATILITY_WINDOWS],
     f"{sql_change('close')} AS ret"))
 def ret_volatility(spark, sf):
-    frame = bars_frame(spark, sf).withColumn("_r", W.change("close"))
-    return finish(frame.withColumns({
-        f"volatility_{k}": F.when(F.col("n_rows") >= k, W.std("_r", k)) for k in R.VOLATILITY_WINDOWS}), RVOLS)
+    frame = W.add(bars_frame(spark, sf), {"_r": W.change("close")})
+    return finish(W.add(frame, {
+        f"volatility_{k}": W.at_least(k, W.std("_r", k)) for k in R.VOLATILITY_WINDOWS}), RVOLS)
 
 
 SQL_WIDTH = f"CASE WHEN n >= 20 THEN 4 * stddev_samp(close) {over(20)} / (avg(close) {over(20)} + {EPS}) END"
@@ -248,7 +248,7 @@ SQL_WIDTH = f"CASE WHEN n >= 20 THEN 4 * stddev_samp(close) {over(20)} / (avg(cl
 
 @query("bb_width", simple(["bb_width"], [SQL_WIDTH]))
 def bb_width(spark, sf):
-    return finish(bars_frame(spark, sf).withColumn("bb_width", W.band_width()), ["bb_width"])
+    return finish(W.add(bars_frame(spark, sf), {"bb_width": W.band_width()}), ["bb_width"])
 
 
 SQL_TR = (f"greatest(high - low, coalesce(abs(high - lag(close) {over()}), high - low), "
@@ -260,7 +260,7 @@ SQL_ATR = f"""tr AS MATERIALIZED (SELECT ticker, pos, {SQL_TR} AS tr FROM s),
 @query("atr", sql(["atr_14"], f"""{sql_series()}, {SQL_ATR},
 r AS (SELECT s.ticker, s.ds, atr_14 FROM s JOIN atr USING (ticker, pos))""", "r"))
 def atr(spark, sf):
-    ranged = own_rows(bars_frame(spark, sf, 1).withColumn("true_range", W.true_range()))
+    ranged = own_rows(W.add(bars_frame(spark, sf, 1), {"true_range": W.true_range()}))
     return shaped(emas(ranged, [Ema("true_range", "atr_14", 1 / 14)]), ["ticker", "ds", "atr_14"])
 
 
@@ -270,9 +270,9 @@ NVOL = ["volume_returns", "volume_normalized"]
 @query("lstm_volume", simple(NVOL, [
     sql_change("volume"), f"volume / (avg(volume) {over(20)} + {EPS})"]))
 def lstm_volume(spark, sf):
-    return finish(bars_frame(spark, sf).withColumns({
+    return finish(W.add(bars_frame(spark, sf), {
         "volume_returns": W.change("volume"),
-        "volume_normalized": W.ratio_to_mean("volume", 20, F.lit(True))}), NVOL)
+        "volume_normalized": W.ratio_to_mean("volume", 20)}), NVOL)
 
 
 XGB_H = R.XGB_HORIZONS
@@ -307,12 +307,12 @@ SQL_WILL = sql_range("-100 * ({hi} - close) / ({hi} - {lo} + {eps})")
 
 @query("stoch_k", simple(["stoch_k"], [SQL_STOCH]))
 def stoch_k(spark, sf):
-    return finish(bars_frame(spark, sf).withColumn("stoch_k", W.stochastic()), ["stoch_k"])
+    return finish(W.add(bars_frame(spark, sf), {"stoch_k": W.stochastic()}), ["stoch_k"])
 
 
 @query("williams_r", simple(["williams_r"], [SQL_WILL]))
 def williams_r(spark, sf):
-    return finish(bars_frame(spark, sf).withColumn("williams_r", W.williams()), ["williams_r"])
+    return finish(W.add(bars_frame(spark, sf), {"williams_r": W.williams()}), ["williams_r"])
 
 
 REGRESSORS = ["rsi", "price_to_ma", "volume_ma", "volume_trend"]
@@ -339,17 +339,17 @@ SQL_HOT = {f"month_{m}": f"CAST(month(ds) = {m} AS INTEGER)" for m in range(1, 1
 
 @query("calendar", simple(PART_NAMES, SQL_PARTS.values()))
 def calendar(spark, sf):
-    return shaped(fx.bars(spark, sf).withColumns(calendar_parts()), ["ticker", "ds", *PART_NAMES])
+    return shaped(W.add(fx.bars(spark, sf), calendar_parts()), ["ticker", "ds", *PART_NAMES])
 
 
 @query("calendar_cyclic", simple(CYCLE_NAMES, SQL_CYCLES.values()))
 def calendar_cyclic(spark, sf):
-    return shaped(fx.bars(spark, sf).withColumns(calendar_cycles()), ["ticker", "ds", *CYCLE_NAMES])
+    return shaped(W.add(fx.bars(spark, sf), calendar_cycles()), ["ticker", "ds", *CYCLE_NAMES])
 
 
 @query("one_hot_calendar", simple(ONE_HOT_NAMES, SQL_HOT.values()))
 def hot(spark, sf):
-    return shaped(fx.bars(spark, sf).withColumns(one_hot_calendar()), ["ticker", "ds", *ONE_HOT_NAMES])
+    return shaped(W.add(fx.bars(spark, sf), one_hot_calendar()), ["ticker", "ds", *ONE_HOT_NAMES])
 
 
 SQL_LAST = f"{sql_series()}, l AS (SELECT ticker, max(ds) AS last_ds FROM bars GROUP BY 1)"
@@ -374,5 +374,5 @@ def days(spark, sf):
 r AS (SELECT *, {SQL_LOGRET} AS r FROM s)
 SELECT ticker, ds, {sql_price(f'first_value(close) {over()} * exp(sum(r) {over()})')} AS price FROM r""")
 def price_from_returns(spark, sf):
-    frame = own_rows(bars_frame(spark, sf, 1).withColumn("_r", W.log_return()))
+    frame = own_rows(W.add(bars_frame(spark, sf, 1), {"_r": W.log_return()}))
     return price_path(frame.drop("blk"), "_r", "close").select("ticker", "ds", price("price").alias("price"))

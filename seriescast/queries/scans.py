@@ -8,7 +8,7 @@ from seriescast.functions.text import python_to_json, ticker_from_name
 from seriescast.operators import metrics
 from seriescast.operators.align import previous_price
 from seriescast.operators.layout import blocks, own_rows
-from seriescast.operators.windows import lag, quotient
+from seriescast.operators.windows import add, lag, quotient
 from seriescast.queries.registry import (
     SQL_EVENT_BARS,
     over,
@@ -97,9 +97,8 @@ SELECT 'close' AS column_name, count(*) FILTER (close IS NULL) AS n_null, CAST(0
 UNION ALL SELECT 'gain', count(*) FILTER (gain IS NULL), 0 FROM g
 UNION ALL SELECT 'close_to_gain', count(*) FILTER (rel IS NULL AND NOT inf), count(*) FILTER (inf) FROM g""")
 def invalid_columns(spark, sf):
-    frame = own_rows(blocks(fx.bars(spark, sf), 1).withColumn("gain", F.col("close") - lag("close")))
-    frame = frame.withColumn("close_to_gain", F.when(
-        F.col("close") >= F.col("open"), quotient(F.col("close"), F.col("high") - F.col("low"))))
+    frame = own_rows(add(blocks(fx.bars(spark, sf), 1), {"gain": f"close - {lag('close')}"}))
+    frame = add(frame, {"close_to_gain": f"CASE WHEN close >= open THEN {quotient('close', '(high - low)')} END"})
     return B.invalid_columns(frame, _CHECKED)
 
 

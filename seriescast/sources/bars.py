@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriescast.operators.layout import blocks, index_series, own_rows, unblocked
-from seriescast.operators.windows import green_day
+from seriescast.operators.windows import add, green_day
 
 PRICE_COLUMNS = ["open", "high", "low", "close"]
 
@@ -139,7 +139,7 @@ def scan_series(spark: SparkSession, path: str, tickers: list[str] | None = None
 
 
 def with_green_day(bars: DataFrame) -> DataFrame:
-    frame = blocks(bars, 1).withColumn("green_day", green_day())
+    frame = add(blocks(bars, 1), {"green_day": green_day()})
     return unblocked(own_rows(frame))
 
 
