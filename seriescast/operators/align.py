@@ -55,12 +55,12 @@ def resolve_models(requests: DataFrame, registry: DataFrame) -> DataFrame:
     key, so a model type with many models or requests multiplies nothing.  Among several
     models of equal rank the newest is taken, then the first name.
     """
-    pick = F.min(F.struct((-F.unix_timestamp("created_at")).alias("age"), "model_name"))["model_name"]
+    pick = F.min(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "model_name"))["model_name"]
     known = registry.where(F.col("model_type").isin(MODEL_TYPES))
     own = known.where("ticker IS NOT NULL").groupBy("model_type", "ticker").agg(pick.alias("_own"))
     by_type = known.groupBy("model_type").agg(
         F.min(F.when(F.col("ticker").isNull(), F.struct(
-            (-F.unix_timestamp("created_at")).alias("age"), "model_name")))["model_name"].alias("_generic"),
+            (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "model_name")))["model_name"].alias("_generic"),
         pick.alias("_any"))
     fallback = F.when(F.col("model_type") != "lstm", F.col("_any"))
     return (

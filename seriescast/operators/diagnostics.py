@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from seriescast.operators.layout import (
     BLOCK,
     blocks,
-    in_order,
     index_series,
     own_rows,
     with_series_values,
 )
+from seriescast.operators.windows import add, lag
 
 Z95 = 1.959963984540054  # the 97.5 % point of the normal distribution
 LAGS = 40
@@ -33,12 +33,10 @@ def autocovariances(df: DataFrame, value: str, lags: int = LAGS, clamp: bool = F
     means = df.groupBy("ticker").agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("n_rows"))
     centred = with_series_values(df.select("ticker", "pos", "n_rows", value), means).withColumn(
         "_x", F.col(value) - F.col("_mean"))
-    framed = blocks(centred, lags, block).withColumns(
-        {f"_x{k}": F.lag("_x", k).over(in_order()) for k in range(1, lags + 1)})
-    products = [F.coalesce(F.sum(F.col("_x") * F.col(f"_x{k}" if k else "_x")), F.lit(0.0))
-                for k in range(lags + 1)]
+    framed = add(blocks(centred, lags, block), {f"_x{k}": lag("_x", k) for k in range(1, lags + 1)})
+    products = ", ".join(f"coalesce(sum(_x * _x{k or ''}), 0D)" for k in range(lags + 1))
     sums = own_rows(framed).groupBy("ticker").agg(
-        F.max("n_rows").alias("n_rows"), F.array(*products).alias("cov"))
+        F.max("n_rows").alias("n_rows"), F.expr(f"array({products})").alias("cov"))
     if clamp:
         sums = sums.withColumn("cov", F.slice("cov", 1, lag_limit(F.col("n_rows"), lags) + 1))
     return sums

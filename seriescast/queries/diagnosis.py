@@ -127,7 +127,7 @@ def pacf_unadjusted(spark, sf):
     return correlogram_columns(diagnostics.pacf(naive(spark, sf), adjusted=False))
 
 
-@query("correlogram_short", f"""WITH {sql_series()}
+@query("correlogram", f"""WITH {sql_series()}
 SELECT ticker, CAST(41 AS INTEGER) AS n_values, 1.0::DOUBLE AS first_value FROM s WHERE pos = 0""")
 def nested(spark, sf):
     c = diagnostics.correlogram(diagnostics.acf(naive(spark, sf), clamp=True))
