@@ -134,7 +134,10 @@ def _one_row_each(rows: DataFrame) -> DataFrame:
 
 
 def predict_next(tails: DataFrame, model: TrainedModel) -> DataFrame:
-    """``ticker, prediction, lower_bound, upper_bound`` for the bar after each tail."""
+    """``ticker, prediction, lower_bound, upper_bound`` for the bar after each tail.
+
+    A series too short to have every feature of the model gets no forecast.
+    """
     last = F.col("pos") == F.col("n_rows") - 1
     features = _features(tails, model)
     if model.kind == "seq":
@@ -143,8 +146,8 @@ def predict_next(tails: DataFrame, model: TrainedModel) -> DataFrame:
         return scored.select("ticker", *[
             (F.col("last_close") * F.exp(c)).alias(c) for c in ("prediction", "lower_bound", "upper_bound")])
     # scoring adds a stage per tree; on stored rows those stay cheap to plan
-    rows = _one_row_each(materialize(
-        features.where(last).select("ticker", "pos", "n_rows", *model.names), "latest"))
+    complete = features.where(last).select("ticker", "pos", "n_rows", *model.names).dropna()
+    rows = _one_row_each(materialize(complete, "latest"))
     if model.kind == "xgb":
         p = model.score(rows)
         return p.select("ticker", F.col("yhat").alias("prediction"), F.col("yhat").alias("lower_bound"),
@@ -155,7 +158,7 @@ def predict_next(tails: DataFrame, model: TrainedModel) -> DataFrame:
 
 def _sequence_returns(features: DataFrame, model: TrainedModel, length: int, width: int) -> DataFrame:
     """Mean and interval of the next log return over the trees, from the last full sequence."""
-    recent = features.where(F.col("pos") >= F.col("n_rows") - length)
+    recent = features.where(F.col("pos") >= F.col("n_rows") - length).dropna(subset=model.names)
     closing = features.where(F.col("pos") == F.col("n_rows") - 1).select(
         "ticker", F.col("close").alias("last_close"))
     # the tail rows of a series are few, so their look-ups need one block as well

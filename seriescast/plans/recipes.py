@@ -180,11 +180,15 @@ def features_seq(bars: DataFrame, n_lags: int = 5, price: str = "close",
                      block=block).drop("true_range")
     kept = own_rows(trim_to_lags(seq_columns(base_columns(frame), price), price, n_lags))
     names = seq_names(n_lags, bars.columns, price)
-    guards = seq_guards()
+    guards, lags = seq_guards(), {f"{price}_lag_{k}": k for k in range(1, n_lags + 1)}
     usable = []
     for c in [*names, "target"]:
         present = f"({c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) <> double('Infinity'))"
-        usable.append(f"(n_rows < {guards[c]} OR {present})" if c in guards else present)
+        if c in guards:
+            present = f"(n_rows < {guards[c]} OR {present})"
+        elif c in lags:
+            present = f"(lag_depth < {lags[c]} OR {present})"
+        usable.append(present)
     # a dropped infinity may leave a hole anywhere, so the old positions are not handed on
     return kept.where(" AND ".join(usable)).select("ticker", "ds", *names, "target", F.col(price).alias("price"))
 

@@ -11,7 +11,7 @@ from seriescast.operators import diagnostics, metrics, scale, split
 from seriescast.operators.align import previous_price
 from seriescast.operators.layout import index_series
 from seriescast.plans import models as M
-from seriescast.plans.recipes import RF_HORIZONS, XGB_HORIZONS, Recipe, recipe
+from seriescast.plans.recipes import RF_HORIZONS, SMA_WINDOWS, XGB_HORIZONS, Recipe, recipe
 from seriescast.sources.bars import minimum_rows
 from seriescast.sources.storage import materialize
 
@@ -56,9 +56,9 @@ class TrainResult:
 
 
 def eligible_bars(bars: DataFrame, cfg: TrainConfig) -> DataFrame:
-    """Indexed bars of the series long enough to train on."""
-    need = minimum_rows(cfg.recipe.name, cfg.lags, cfg.sequence_length)
-    return index_series(bars).where(F.col("n_rows") >= need["train"])
+    """Indexed bars of the series long enough to train on and to have every feature."""
+    need = minimum_rows(cfg.recipe.name, cfg.lags, cfg.sequence_length)["train"]
+    return index_series(bars).where(F.col("n_rows") >= max(need, max(SMA_WINDOWS)))
 
 
 def prepared(bars: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, list[str]]:
