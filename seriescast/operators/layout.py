@@ -73,11 +73,22 @@ def blocks(df: DataFrame, lookback: int, size: int = BLOCK) -> DataFrame:
     df = index_series(df)
     home = block_of(size)
     if lookback == 0:
-        return df.withColumn("blk", home).withColumn("own", F.lit(True))
+        return spread_blocks(df.withColumn("blk", home).withColumn("own", F.lit(True)))
     feeds_next = (F.col("pos") % size >= size - lookback) & ((home + 1) * size < F.col("n_rows"))
-    return df.withColumn(
+    return spread_blocks(df.withColumn(
         "blk", F.explode(F.when(feeds_next, F.array(home, home + 1)).otherwise(F.array(home)))
-    ).withColumn("own", F.col("blk") == home)
+    ).withColumn("own", F.col("blk") == home))
+
+
+def spread_blocks(df: DataFrame) -> DataFrame:
+    """The one exchange all windows of a frame share.
+
+    Dozens of windows per row make a block dear in time but small in bytes, so the number
+    of partitions is fixed here: adaptive coalescing goes by bytes and would leave the work
+    of many executors to a few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "ticker", "blk")
 
 
 def with_series_values(df: DataFrame, per_series: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -81,6 +81,23 @@ def sampling_interval(bars: DataFrame) -> DataFrame:
     return ends.join(usual, "ticker", "left")
 
 
+def draws_interval(draws: Column) -> dict[str, Column]:
+    """Mean and 95 % interval of an array of draws, within the row."""
+    ordered = F.array_sort(draws)
+    size = F.size(draws)
+
+    def quantile(p: float) -> Column:
+        at = (size - 1) * F.lit(p)
+        lo, hi = (F.element_at(ordered, f(at).cast("int") + 1) for f in (F.floor, F.ceil))
+        return lo + (hi - lo) * (at - F.floor(at))
+
+    return {
+        "prediction": F.aggregate(draws, F.lit(0.0), lambda s, v: s + v, lambda s: s / size),
+        "lower_bound": quantile(0.025),
+        "upper_bound": quantile(0.975),
+    }
+
+
 def interval_from_draws(draws: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mean and 95 % interval over the draws of each point; draws per point are few."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))

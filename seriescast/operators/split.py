@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriescast.operators.layout import BLOCK, blocks, index_series, own_rows
+from seriescast.operators.layout import BLOCK, blocks, index_series, own_rows, with_series_values
 
 
 def share(n: Column, ratio: float) -> Column:
@@ -67,18 +67,19 @@ def rolling_origin(df: DataFrame, least_initial: int = 365) -> DataFrame:
     """
     df = index_series(df)
     ends = df.groupBy("ticker").agg(F.min("ds").alias("_first"), F.max("ds").alias("_last"),
-                                    F.count(F.lit(1)).alias("_n"))
-    initial = F.greatest(share(F.col("_n"), 0.5), F.lit(least_initial), F.lit(5)).cast("int")
-    period = F.greatest(share(F.col("_n"), 0.1), F.lit(1)).cast("int")
-    horizon = F.greatest(share(F.col("_n"), 0.2), F.lit(1)).cast("int")
+                                    F.max("n_rows").alias("n_rows"))
+    n = F.col("n_rows")
+    initial = F.greatest(share(n, 0.5), F.lit(least_initial), F.lit(5)).cast("int")
+    period = F.greatest(share(n, 0.1), F.lit(1)).cast("int")
+    horizon = F.greatest(share(n, 0.2), F.lit(1)).cast("int")
     newest = F.date_sub(F.col("_last"), horizon)
     steps = F.floor(F.date_diff(newest, F.date_add(F.col("_first"), initial)) / period).cast("int")
     cutoffs = ends.where(steps >= 0).select(
-        "ticker", horizon.alias("_h"),
+        "ticker", "n_rows", horizon.alias("_h"),
         F.transform(F.sequence(F.lit(0), steps), lambda k: F.date_sub(newest, (k * period).cast("int")))
         .alias("_cutoffs"))
     return (
-        df.join(cutoffs, "ticker")
+        with_series_values(df, cutoffs)
         .withColumn("cutoff", F.explode("_cutoffs"))
         .where(F.col("ds") <= F.date_add("cutoff", F.col("_h")))
         .withColumn("role", F.when(F.col("ds") <= F.col("cutoff"), "train").otherwise("test"))

@@ -19,7 +19,7 @@ from seriescast.operators import scale, split
 from seriescast.operators import windows as W
 from seriescast.operators.ema import Ema, emas, seeded_emas
 from seriescast.operators.layout import blocks, in_order, index_series, own_rows
-from seriescast.operators.metrics import historical_volatility, interval_from_draws
+from seriescast.operators.metrics import draws_interval, historical_volatility
 from seriescast.operators.quantiles import exact_quantiles
 from seriescast.plans import recipes as R
 from seriescast.plans.models import TrainedModel, flatten_sequences, tree_predictions
@@ -152,8 +152,8 @@ def predict_next(tails: DataFrame, model: TrainedModel) -> DataFrame:
         p = model.score(rows)
         return p.select("ticker", F.col("yhat").alias("prediction"), F.col("yhat").alias("lower_bound"),
                         F.col("yhat").alias("upper_bound"))
-    drawn = model.draws(rows).select("ticker", F.explode("draws").alias("value"))
-    return interval_from_draws(drawn, ["ticker"])
+    return model.draws(rows).select(
+        "ticker", *[c.alias(n) for n, c in draws_interval(F.col("draws")).items()])
 
 
 def _sequence_returns(features: DataFrame, model: TrainedModel, length: int, width: int) -> DataFrame:
@@ -172,9 +172,10 @@ def _sequence_returns(features: DataFrame, model: TrainedModel, length: int, wid
     flat, cells = flatten_sequences(materialize(seq, "latest"), length, width)
     staged = model.pipeline.stages[0].transform(flat)
     staged, trees = tree_predictions(model.regressor, staged.drop("sequence", *cells))
-    drawn = staged.select("ticker", F.explode(F.array(*[
-        F.col(t) * F.col("_spread") + F.col("_center") for t in trees])).alias("value"))
-    return interval_from_draws(drawn, ["ticker"]).join(closing, "ticker")
+    drawn = staged.select("ticker", F.array(*[
+        F.col(t) * F.col("_spread") + F.col("_center") for t in trees]).alias("draws"))
+    return drawn.select(
+        "ticker", *[c.alias(n) for n, c in draws_interval(F.col("draws")).items()]).join(closing, "ticker")
 
 
 def forecast(model: TrainedModel, bars: DataFrame, horizon: int, calendar: str = "business") -> DataFrame:

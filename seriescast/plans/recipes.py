@@ -25,6 +25,7 @@ from seriescast.operators import windows as W
 from seriescast.operators.ema import Ema, emas
 from seriescast.operators.layout import BLOCK, blocks, index_series, own_rows
 from seriescast.sources.bars import require_columns
+from seriescast.sources.storage import materialize
 
 SMA_WINDOWS = (5, 10, 20, 50)
 EMA_SPANS = (12, 26)
@@ -136,10 +137,20 @@ def add_macd(frame: DataFrame, source: DataFrame, block: int) -> DataFrame:
     ).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
-def _framed(bars: DataFrame, columns: list[str], lookback: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The blocked frame with exponential averages of the close, and its narrow source."""
+def settled(bars: DataFrame, columns: list[str]) -> DataFrame:
+    """Indexed bars, stored unless they come indexed: a recipe reads them several times.
+
+    The averages carried between blocks are a second look at the closes, and bars are often
+    an aggregate of far larger ticks; stored, those are read once.
+    """
     require_columns(bars, columns)
     indexed = index_series(bars)
+    return indexed if indexed is bars else materialize(indexed, "bars")
+
+
+def _framed(bars: DataFrame, columns: list[str], lookback: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The blocked frame with exponential averages of the close, and its narrow source."""
+    indexed = settled(bars, columns)
     source = indexed.select("ticker", "pos", "n_rows", "close")
     return emas(blocks(indexed, lookback, block), CLOSE_EMAS, source, block=block), source
 
@@ -172,10 +183,11 @@ def features_xgb(bars: DataFrame, n_lags: int = 15, horizons: tuple[int, ...] =
 
 def features_seq(bars: DataFrame, n_lags: int = 5, price: str = "close",
                  block: int = BLOCK) -> DataFrame:
+    bars = settled(bars, ["close", price])
     frame, _ = _framed(bars, ["close", price], max(52, n_lags), block)
     if {"high", "low"} <= set(bars.columns):
         reach = {"true_range": W.true_range(price=price)}
-        ranged = own_rows(W.add(blocks(index_series(bars), 1, block), reach))
+        ranged = own_rows(W.add(blocks(bars, 1, block), reach))
         frame = emas(W.add(frame, reach), [Ema("true_range", "atr_14", 1 / 14)], ranged,
                      block=block).drop("true_range")
     kept = own_rows(trim_to_lags(seq_columns(base_columns(frame), price), price, n_lags))

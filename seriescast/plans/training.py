@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +48,29 @@ class TrainConfig:
 
 @dataclass
 class TrainResult:
+    """A trained model with its scored rows; diagnostics are worked out when asked for."""
+
     model: M.TrainedModel
     metrics: DataFrame
-    residuals: DataFrame
-    acf: DataFrame
-    pacf: DataFrame
-    importances: DataFrame
+    fitted: DataFrame
+    clamp: bool
+    acf_lags: int
+
+    @property
+    def residuals(self) -> DataFrame:
+        return self.fitted.select("ticker", "ds", "y", "yhat", "residual")
+
+    @cached_property
+    def acf(self) -> DataFrame:
+        return diagnostics.acf(self.fitted, lags=self.acf_lags, clamp=self.clamp)
+
+    @cached_property
+    def pacf(self) -> DataFrame:
+        return diagnostics.pacf(self.fitted, lags=self.acf_lags, adjusted=not self.clamp, clamp=self.clamp)
+
+    @cached_property
+    def importances(self) -> DataFrame:
+        return self.model.importances(self.fitted.sparkSession)
 
 
 def eligible_bars(bars: DataFrame, cfg: TrainConfig) -> DataFrame:
@@ -154,19 +172,11 @@ def diagnosed(model: M.TrainedModel, scored: DataFrame, cfg: TrainConfig, fitted
     ``fitted_rows`` is the number of train rows of a series; their ``pos`` counts from 0.
     """
     scored = scored.withColumn("residual", F.col("y") - F.col("yhat"))
-    fitted = scored.where("split = 'train'")
-    counted = fitted.withColumn("n_rows", fitted_rows)
-    clamp = cfg.recipe.name == "xgb"
+    fitted = scored.where("split = 'train'").withColumn("n_rows", fitted_rows)
     held_out = scored.where("split = 'test'")
     model.metrics = overall(held_out)
-    return TrainResult(
-        model=model,
-        metrics=metrics.regression_metrics(held_out, ["ticker"]),
-        residuals=fitted.select("ticker", "ds", "y", "yhat", "residual"),
-        acf=diagnostics.acf(counted, lags=cfg.acf_lags, clamp=clamp),
-        pacf=diagnostics.pacf(counted, lags=cfg.acf_lags, adjusted=not clamp, clamp=clamp),
-        importances=model.importances(scored.sparkSession),
-    )
+    return TrainResult(model, metrics.regression_metrics(held_out, ["ticker"]), fitted,
+                       clamp=cfg.recipe.name == "xgb", acf_lags=cfg.acf_lags)
 
 
 def overall(scored: DataFrame) -> dict[str, float]:

@@ -150,6 +150,20 @@ def interval(spark, sf):
     return q.select("ticker", "ds", *[price(c).alias(c) for c in ("prediction", "lower_bound", "upper_bound")])
 
 
+@query("interval_from_arrays", f"""WITH {sql_series()},
+d AS (SELECT a.ticker, a.ds, b.close AS value FROM s a JOIN s b
+      ON a.ticker = b.ticker AND b.pos BETWEEN a.pos - 20 AND a.pos - 1)
+SELECT ticker, ds, {sql_price('avg(value)')} AS prediction,
+       {sql_price('quantile_cont(value, 0.025)')} AS lower_bound,
+       {sql_price('quantile_cont(value, 0.975)')} AS upper_bound FROM d GROUP BY 1, 2""")
+def interval_arrays(spark, sf):
+    """The same interval with the draws of a point in an array: no shuffle by point."""
+    draws = "array_compact(array(" + ", ".join(lag("close", k) for k in range(1, 21)) + "))"
+    framed = own_rows(add(blocks(fx.bars(spark, sf), 20), {"draws": draws})).where("size(draws) > 0")
+    columns = metrics.draws_interval(F.col("draws"))
+    return framed.select("ticker", "ds", *[price(c).alias(n) for n, c in columns.items()])
+
+
 @query("hist_volatility", f"""WITH {sql_series()},
 r AS (SELECT ticker, close / lag(close) {over()} - 1 AS r FROM s)
 SELECT ticker, {sql_rnd('stddev_samp(r)')} AS volatility,

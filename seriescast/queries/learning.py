@@ -142,8 +142,7 @@ def rf_interval(spark, sf):
     model = T.train(bars, FOREST).model
     frame, _ = T.prepared(bars, FOREST)
     drawn = model.draws(split.split_two(frame, FOREST.ratio).where("split = 'test'"))
-    return metrics.interval_from_draws(
-        drawn.select("ticker", "ds", F.explode("draws").alias("value")), ["ticker", "ds"])
+    return drawn.select("ticker", "ds", *[c.alias(n) for n, c in metrics.draws_interval(F.col("draws")).items()])
 
 
 @query("train_report_json")

@@ -99,7 +99,7 @@ def daily_bars(ticks: DataFrame, ticker: str | Column, ts: str, price: str, orde
 
 def select_bars(bars: DataFrame, tickers: list[str] | None = None, start: str | dt.date | None = None,
                 end: str | dt.date | None = None, volume: bool = False) -> DataFrame:
-    """Bars of some tickers in ``[start, end)``; both filters reach a ticker-partitioned scan."""
+    """Bars of some tickers in ``[start, end)``; both filters reach the scan."""
     if tickers is not None:
         bars = bars.where(F.col("ticker").isin(tickers))
     if start is not None:
@@ -120,16 +120,20 @@ def scan_bars(spark: SparkSession, path: str, tickers: list[str] | None = None,
     return with_green_day(select_bars(spark.read.parquet(path), tickers, lo, hi, volume))
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Store bars with their positions, by ticker, so that scans prune and need no indexing.
+def write_bars(bars: DataFrame, path: str, by_ticker: bool = False) -> None:
+    """Store bars with their positions, so that scans need no indexing.
 
-    A ticker is spread over one file per year: no task writes a whole hot ticker.
+    Files hold ranges of ``(ticker, ds)``: filters on either skip files and row groups by
+    their statistics, and a hot ticker fills several files instead of one task.  With
+    ``by_ticker`` there is also one folder per ticker, for universes of a few thousand.
     """
-    (
-        index_series(bars).repartition("ticker", F.year("ds"))
-        .sortWithinPartitions("ticker", "ds")
-        .write.mode("overwrite").partitionBy("ticker").parquet(path)
-    )
+    indexed = index_series(bars)
+    if by_ticker:
+        writer = indexed.repartition("ticker", F.year("ds")).sortWithinPartitions("ticker", "ds").write
+        writer.mode("overwrite").partitionBy("ticker").parquet(path)
+    else:
+        ranged = indexed.repartitionByRange("ticker", "ds").sortWithinPartitions("ticker", "ds")
+        ranged.write.mode("overwrite").parquet(path)
 
 
 def scan_series(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:

@@ -24,11 +24,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a frame that several jobs read to the shared folder and read it back.
 
     Unlike a cache it survives lost executors, and readers still prune its columns.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -77,10 +77,14 @@ def test_series_values_reach_every_row(bars):
 def test_stored_bars_keep_positions_and_prune(spark, bars, tmp_path):
     df, pdf = bars
     path = str(tmp_path / "bars")
-    write_bars(df, path)
-    series = scan_series(spark, path, ["G300"])
-    assert index_series(series) is series
-    assert series.count() == 300
+    ranged = str(tmp_path / "ranged")
+    write_bars(df, path, by_ticker=True)
+    write_bars(df, ranged)
+    for p in (path, ranged):
+        series = scan_series(spark, p, ["G300"])
+        assert index_series(series) is series
+        assert series.count() == 300
+    assert "EqualTo(ticker,G300)" in series._jdf.queryExecution().toString()
     plan = select_bars(spark.read.parquet(path), ["G300"], "2020-06-01", "2020-07-01")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(ticker" in plan and "PushedFilters: [IsNotNull(ds), GreaterThanOrEqual(ds" in plan
     assert "volume" not in plan.split("ReadSchema")[1]
