@@ -8,20 +8,22 @@ points, seasonal terms and regressors are ridge penalties.
 
 from __future__ import annotations
 
+import json
+import random
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriescast.functions.calendar import future_dates
-from seriescast.operators import align
+from seriescast.operators import align, metrics
 from seriescast.operators.layout import BLOCK, block_of, index_series
-from seriescast.operators.split import rolling_origin
+from seriescast.operators.split import rolling_origin, split_two
 from seriescast.sources.storage import materialize
 
 # Default prior scales, change points and Fourier orders, and the search space.
@@ -77,6 +79,19 @@ class AdditiveModel:
                 *[f"_s_{r}" for r in self.regressors])
 
 
+    def save(self, path: str) -> None:
+        self.coefficients.write.mode("overwrite").parquet(f"{path}/coefficients")
+        about = json.dumps({"params": asdict(self.params), "regressors": self.regressors, "keys": self.keys})
+        self.coefficients.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode(
+            "overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> AdditiveModel:
+        about = json.loads(spark.read.text(f"{path}/about", wholetext=True).first()[0])
+        return AdditiveModel(AdditiveParams(**about["params"]), about["regressors"],
+                             spark.read.parquet(f"{path}/coefficients"), about["keys"])
+
+
 STATS = ["_t0", "_span", "_scale"]
 
 
@@ -210,3 +225,16 @@ def search(frame: DataFrame, candidates: list[AdditiveParams], regressors: list[
     # one row per candidate
     rank = F.row_number().over(Window.orderBy("rmse", "candidate"))
     return board.withColumn("params", F.get(described, F.col("candidate"))).withColumn("rank", rank)
+
+
+def train(frame: DataFrame, regressors: list[str], params: AdditiveParams | None = None, ratio: float = 0.8,
+          draws: int = 0, seed: int = 42) -> tuple[AdditiveModel, DataFrame]:
+    """Ordered split, optional search over ``draws`` of the grid, fit, hold-out metrics with R2."""
+    stored = materialize(split_two(frame, ratio), "additive")
+    head = stored.where("split = 'train'").withColumn("n_rows", F.floor(F.col("n_rows") * F.lit(ratio)))
+    if draws:
+        space = grid()
+        candidates = random.Random(seed).sample(space, min(draws, len(space)))
+        params = candidates[search(head, candidates, regressors).orderBy("rank").first()["candidate"]]
+    model = fit(head, params or AdditiveParams(), regressors)
+    return model, metrics.r_squared(model.predict(stored.where("split = 'test'")), ["ticker"])

@@ -92,7 +92,9 @@ def _seeds(indexed: DataFrame, rows: int, kind: str, n_lags: int) -> DataFrame:
 
 def start_state(bars: DataFrame, model: TrainedModel) -> tuple[DataFrame, DataFrame]:
     """The tails with ``green_day``, and one row of constants per series."""
-    indexed = materialize(index_series(bars), "history")
+    indexed = index_series(bars)
+    if indexed is not bars:
+        indexed = materialize(indexed, "history")
     rows = tail_rows(model)
     framed = blocks(indexed, 1)
     if "green_day" not in indexed.columns:
@@ -145,13 +147,13 @@ def predict_next(tails: DataFrame, model: TrainedModel) -> DataFrame:
         scored = _sequence_returns(features, model, length, width)
         return scored.select("ticker", *[
             (F.col("last_close") * F.exp(c)).alias(c) for c in ("prediction", "lower_bound", "upper_bound")])
-    # scoring adds a stage per tree; on stored rows those stay cheap to plan
     complete = features.where(last).select("ticker", "pos", "n_rows", *model.names).dropna()
-    rows = _one_row_each(materialize(complete, "latest"))
     if model.kind == "xgb":
-        p = model.score(rows)
+        p = model.score(_one_row_each(complete))
         return p.select("ticker", F.col("yhat").alias("prediction"), F.col("yhat").alias("lower_bound"),
                         F.col("yhat").alias("upper_bound"))
+    # scoring tree by tree adds a stage per tree; on stored rows those stay cheap to plan
+    rows = _one_row_each(materialize(complete, "latest"))
     return model.draws(rows).select(
         "ticker", *[c.alias(n) for n, c in draws_interval(F.col("draws")).items()])
 

@@ -40,6 +40,7 @@ class BoostParams:
     learning_rate: float = 0.1
     subsample: float = 0.8
     max_features: str = "0.8"
+    gamma: float = 0.0
     seed: int = SEED
 
     def estimator(self, features: str = "features", label: str = "label",
@@ -47,7 +48,7 @@ class BoostParams:
         gbt = GBTRegressor(
             featuresCol=features, labelCol=label, maxIter=self.n_estimators, maxDepth=self.max_depth,
             stepSize=self.learning_rate, subsamplingRate=self.subsample,
-            featureSubsetStrategy=str(self.max_features), seed=self.seed)
+            featureSubsetStrategy=str(self.max_features), minInfoGain=self.gamma, seed=self.seed)
         return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 

@@ -47,6 +47,15 @@ BOOST_SPACE = {
     "max_features": ["0.7", "0.8"],
 }
 
+WIDE_BOOST_SPACE = {
+    "n_estimators": [50, 100, 200],
+    "max_depth": [3, 5, 7],
+    "learning_rate": [0.01, 0.1, 0.3],
+    "subsample": [0.6, 0.8, 1.0],
+    "max_features": ["0.6", "0.8", "1.0"],
+    "gamma": [0.0, 0.1, 1.0],
+}
+
 Candidate = dict[str, Any]
 
 

@@ -31,11 +31,13 @@ class TrainConfig:
     max_features: int | None = 15
     helper_trees: int = 50
     target_mode: str = "same_day"
+    early_stopping: float | None = None  # boosted only: share of the train rows that decides when to stop
+    custom: Recipe | None = None  # a recipe of the caller's own
     acf_lags: int = diagnostics.LAGS
 
     @property
     def recipe(self) -> Recipe:
-        return recipe(self.kind)
+        return self.custom or recipe(self.kind)
 
     @property
     def lags(self) -> int:
@@ -141,13 +143,19 @@ def train(bars: DataFrame, cfg: TrainConfig) -> TrainResult:
     frame, names = training_frame(bars, cfg)
     scaler = fit_scaler(frame, names, cfg)
     ready = model_input(frame, names, scaler)
-    rows = spread_out(materialize(ready.where("split = 'train'").select(*names, "label"), "train"))
+    chosen = [*names, "label"]
+    if cfg.early_stopping:
+        deciding = split.share(split.share(F.col("n_rows"), cfg.ratio), 1 - cfg.early_stopping)
+        ready = ready.withColumn("is_validation", F.col("pos") >= deciding)
+        chosen.append("is_validation")
+    rows = spread_out(materialize(ready.where("split = 'train'").select(*chosen), "train"))
     params = cfg.params or M.PARAMS[cfg.recipe.name]()
     indices = None
     if cfg.select is not None or cfg.max_features is not None:
         ranked = M.rank_importances(rows, names, helper_for(params, cfg.helper_trees))
         indices = M.choose(ranked, cfg.select, cfg.max_features)
-    pipeline = M.fit_selected(rows, names, indices, params.estimator())
+    estimator = params.estimator(validation="is_validation") if cfg.early_stopping else params.estimator()
+    pipeline = M.fit_selected(rows, names, indices, estimator)
     model = M.TrainedModel(
         kind=cfg.recipe.name, pipeline=pipeline, names=names,
         selected=[names[i] for i in indices] if indices else names, n_lags=cfg.lags, label="label",

@@ -7,9 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from seriescast.functions.text import parse_python, to_python
-from seriescast.operators import metrics
-from seriescast.operators import split
-from seriescast.plans import additive, recipes, report, search
+from seriescast.operators import metrics, split
+from seriescast.plans import additive, recipes, report, search, service
 from seriescast.plans import forecast as fc
 from seriescast.plans import training as T
 from seriescast.plans.models import BoostParams, ForestParams
@@ -40,19 +39,13 @@ def seq_train_eval(spark, sf):
 
 
 def additive_data(spark, sf):
-    return recipes.features_additive(fx.bars(spark, sf)).where("pos >= 20")
-
-
-def additive_split(spark, sf):
-    frame = split.split_two(split.index_series(additive_data(spark, sf).drop("pos", "n_rows")), 0.8)
-    return frame.where("split = 'train'"), frame.where("split = 'test'")
+    frame = recipes.features_additive(fx.bars(spark, sf)).where("pos >= 20")
+    return frame.withColumns({"pos": F.col("pos") - 20, "n_rows": F.col("n_rows") - 20})
 
 
 @query("additive_train_eval")
 def additive_train_eval(spark, sf):
-    train, test = additive_split(spark, sf)
-    model = additive.fit(train, additive.AdditiveParams(), REGRESSORS)
-    return metrics.r_squared(model.predict(test), ["ticker"])
+    return additive.train(additive_data(spark, sf), REGRESSORS)[1]
 
 
 @query("additive_forecast")
@@ -175,7 +168,9 @@ def model_save(spark, sf):
         F.map_contains_key("metrics", "RMSE").alias("has_rmse"), "training_end_date")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", """
+SELECT ticker, count(*) - 15 AS n, CAST(0 AS BIGINT) AS n_changed FROM (
+  SELECT DISTINCT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS ds FROM orders) d GROUP BY 1""")
 def model_roundtrip(spark, sf):
     """Rows whose prediction by the stored model differs from the one in memory."""
     folder, bars, model = saved(spark, sf)
@@ -194,6 +189,15 @@ def registry_list(spark, sf):
     return listed.select("model_name", "model_type", (F.col("size_bytes") > 0).alias("stored"), "size_mb")
 
 
+@query("forecast_job")
+def forecast_job(spark, sf):
+    """Requests resolved to stored models and forecast from the window each model needs."""
+    folder, bars, model = saved(spark, sf)
+    store.save_model(model, folder, "xgb_model_URGENT", "1-URGENT", dt.datetime(2024, 1, 2))
+    wanted = bars.select("ticker", F.lit("xgb").alias("model_type")).distinct()
+    return service.forecast_requests(spark, folder, wanted, bars, 1)
+
+
 @query("evaluate_saved")
 def evaluate_saved(spark, sf):
     folder, bars, _ = saved(spark, sf)

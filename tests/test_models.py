@@ -137,7 +137,7 @@ def test_next_day_label(panel):
 
 def test_grids():
     assert search.grid_size(search.FOREST_SPACE) == 864 and search.grid_size(search.BOOST_SPACE) == 216
-    assert len(additive.grid()) == 160
+    assert search.grid_size(search.WIDE_BOOST_SPACE) == 729 and len(additive.grid()) == 160
     drawn = search.sample(search.FOREST_SPACE, 300)
     assert len({repr(c) for c in drawn}) == 300 and drawn == search.sample(search.FOREST_SPACE, 300)
 
@@ -220,3 +220,29 @@ def test_export_has_four_decimals(spark, panel, tmp_path):
     report.export_csv(report.naive_forecast(panel, 2), str(tmp_path / "csv"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
     assert len(rows) == 6 and all(len(r["Prediccion"].split(".")[1]) == 4 for r in rows)
+
+
+def test_early_stopping_builds_fewer_trees(panel):
+    params = BoostParams(30, 2, learning_rate=1.0)
+    cfg = T.TrainConfig("xgb", params=params, select=None, max_features=None, early_stopping=0.2)
+    assert T.train(panel, cfg).model.regressor.getNumTrees < 30
+
+
+def test_history_window(trained):
+    from seriescast.plans.service import history_window
+
+    start, end = history_window(trained["xgb"].model)
+    assert (end - start).days == int((15 + 252) * 1.5) + 1
+    assert str(end - dt.timedelta(days=1)) == trained["xgb"].model.training_end
+    start, end = history_window(trained["rf"].model)
+    assert (end - start).days == 3 * 365 + 1
+
+
+def test_additive_training_and_storage(spark, tmp_path):
+    df, _ = additive_frame(spark)
+    model, scores = additive.train(df, [])
+    assert np.isfinite(scores.first()["rmse"])
+    model.save(str(tmp_path))
+    again = additive.AdditiveModel.load(spark, str(tmp_path))
+    a, b = (m.predict(df).orderBy("ds").toPandas()["yhat"] for m in (model, again))
+    np.testing.assert_array_equal(a, b)
