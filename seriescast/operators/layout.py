@@ -91,7 +91,8 @@ def spread_blocks(df: DataFrame) -> DataFrame:
     return df.repartition(n, "ticker", "blk")
 
 
-def with_series_values(df: DataFrame, per_series: DataFrame, size: int = BLOCK) -> DataFrame:
+def with_series_values(df: DataFrame, per_series: DataFrame, size: int = BLOCK,
+                       keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Add the columns of a one-row-per-series frame to every row.
 
     The small side is repeated once per block, so the join runs on ``(ticker, blk)`` and a
@@ -100,12 +101,12 @@ def with_series_values(df: DataFrame, per_series: DataFrame, size: int = BLOCK)
     """
     df = index_series(df)
     if "n_rows" not in per_series.columns:
-        lengths = df.groupBy("ticker").agg(F.max("n_rows").alias("n_rows"))
-        per_series = per_series.join(lengths, "ticker")
+        lengths = df.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"))
+        per_series = per_series.join(lengths, list(keys))
     spread = per_series.withColumn(
         "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_rows - 1) div {size}")))
     ).drop("n_rows")
-    return df.withColumn("blk", block_of(size)).join(spread, ["ticker", "blk"]).drop("blk")
+    return df.withColumn("blk", block_of(size)).join(spread, [*keys, "blk"]).drop("blk")
 
 
 def own_rows(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def fit(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
         names = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
                           for c in columns])
         q = exact_quantiles(df.select("ticker", F.inline(names)), ["ticker", "name"], "value",
-                            [0.25, 0.5, 0.75])
+                            [0.25, 0.5, 0.75], cut_by="name")
         lengths = df.groupBy("ticker").agg(length)
         return lengths.join(q.groupBy("ticker").agg(*[
             a for c in columns

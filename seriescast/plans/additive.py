@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from seriescast.functions.calendar import future_dates
 from seriescast.operators import align, metrics
-from seriescast.operators.layout import BLOCK, block_of, index_series
+from seriescast.operators.layout import BLOCK, block_of, index_series, with_series_values
 from seriescast.operators.split import rolling_origin, split_two
 from seriescast.sources.storage import materialize
 
@@ -65,7 +65,10 @@ class AdditiveModel:
     def predict(self, frame: DataFrame) -> DataFrame:
         """Add ``yhat``, ``yhat_lower``, ``yhat_upper``; absent regressors count as 0."""
         frame = align.zero_filled(frame, self.regressors)
-        joined = frame.join(self.coefficients, self.keys)
+        if {"pos", "n_rows"} <= set(frame.columns):
+            joined = with_series_values(frame, self.coefficients, keys=tuple(self.keys))
+        else:  # future dates: a horizon's worth of rows per series
+            joined = frame.join(self.coefficients, self.keys)
         x = design(self.params, self.regressors)
         dot = F.aggregate(F.zip_with(x, "_beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         out = joined.withColumn("_fit", dot)
@@ -104,8 +107,9 @@ def series_stats(train: DataFrame, params: AdditiveParams, regressors: list[str]
     """Start, span and scale of each series and the moments of its regressors."""
     moments = [a for r in regressors for a in (
         F.avg(r).alias(f"_m_{r}"), F.stddev_pop(r).alias(f"_s_{r}"))]
+    length = [F.max("n_rows").alias("n_rows")] if "n_rows" in train.columns else []
     return train.groupBy(*keys).agg(
-        F.min("ds").alias("_t0"),
+        *length, F.min("ds").alias("_t0"),
         F.greatest(F.date_diff(F.max("ds"), F.min("ds")), F.lit(1)).cast("double").alias("_span"),
         F.greatest(F.max(F.abs(target(params))), F.lit(1e-300)).alias("_scale"), *moments)
 
@@ -129,7 +133,10 @@ def design(params: AdditiveParams, regressors: list[str]) -> Column:
 def gram(train: DataFrame, params: AdditiveParams, regressors: list[str], keys: list[str]) -> DataFrame:
     """``_gram`` per key: X'X, X'y and y'y as one flat array."""
     stats = series_stats(train, params, regressors, keys)
-    rows = train.join(stats, keys).select(
+    # joined part by part, so that the parts of one series stay apart
+    last_part = F.expr(f"(n_rows - 1) div {BLOCK}")
+    spread = stats.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last_part))).drop("n_rows")
+    rows = train.join(spread, [*keys, "_part"]).select(
         *keys, "_part", design(params, regressors).alias("_x"), (target(params) / F.col("_scale")).alias("_y"))
     schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("_g", T.ArrayType(T.DoubleType()))])
 
@@ -143,7 +150,7 @@ def gram(train: DataFrame, params: AdditiveParams, regressors: list[str], keys:
     packed = cells.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias("_gram"))
     counts = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return packed.join(counts, keys).join(stats, keys)
+    return packed.join(counts, keys).join(stats.drop("n_rows"), keys)
 
 
 def solve(grams: DataFrame, penalties: list[list[float]]) -> DataFrame:

@@ -155,7 +155,8 @@ def require_columns(df: DataFrame, columns: list[str]) -> None:
 
 def missing_tickers(requested: DataFrame, bars: DataFrame) -> DataFrame:
     """Requested tickers without a single bar."""
-    return requested.select("ticker").distinct().join(bars, "ticker", "left_anti")
+    # distinct on both sides, so that a hot ticker is one row before anything is joined
+    return requested.select("ticker").distinct().join(bars.select("ticker").distinct(), "ticker", "left_anti")
 
 
 def minimum_rows(model: str, n_lags: int = 10, sequence_length: int = 30) -> dict[str, int]:
