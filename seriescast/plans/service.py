@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriescast.operators.align import resolve_models
+from seriescast.operators.layout import with_series_values
 from seriescast.plans.forecast import forecast
 from seriescast.plans.models import TrainedModel
 from seriescast.sources import registry
@@ -37,9 +38,10 @@ def forecast_requests(spark: SparkSession, folder: str, requests: DataFrame, bar
     for name in names:
         model = registry.load_model(spark, folder, name)
         start, end = history_window(model)
-        tickers = resolved.where(F.col("model_name") == name).select("ticker", "resolution")
-        history = select_bars(bars, None, start, end, volume="volume" in bars.columns).join(
-            tickers.select("ticker"), "ticker", "left_semi")
+        tickers = resolved.where(F.col("model_name") == name).select("ticker", "resolution").distinct()
+        # joined block by block, so that a huge series is not filtered in one task
+        wanted = with_series_values(bars, tickers.select("ticker"))
+        history = select_bars(wanted, None, start, end, volume="volume" in bars.columns)
         rows = forecast(model, history, horizon, calendar).withColumn("model_used", F.lit(name)).join(
             tickers, "ticker")
         out = rows if out is None else out.unionByName(rows)
