@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["token_counts", "secrets", "toxicity", "packing"]
+MODULES = ["token_counts", "secrets", "pii", "decontaminate", "jaccard", "toxicity", "packing"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
