@@ -40,6 +40,8 @@ ESTIMATE = JACCARD - 4 * math.sqrt(JACCARD * (1 - JACCARD) / SIGNATURE)
 SAME = 0.92
 CELL_SETS, CELL_SHINGLES = 512, 200_000
 KNOWN_WORDS = 200_000
+#: Up to so many sets to verify (24 bytes each) are broadcast to find their texts; beyond, both sides are shuffled.
+BROADCAST_SETS = 1_000_000
 
 # Odd multipliers of the hashes: any will do.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -114,11 +116,11 @@ def _mixed(*values: np.ndarray) -> np.ndarray:
     return h
 
 
-def children(paths: np.ndarray, sigs: np.ndarray, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+def children(paths: np.ndarray, sigs: np.ndarray, jaccard: float, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Rows and paths of the children of (path, signature) rows; what a node draws depends on its path alone."""
     paths = paths.view(np.uint64)
     every, at = [], np.arange(len(paths))
-    for k in range(2):
+    for k in range(most):
         drawn = _mixed(paths, np.full(len(paths), k + 1))
         which = (drawn % np.uint64(SIGNATURE)).astype(np.int64)
         child = _mixed(paths, which, sigs[at, which])
@@ -132,15 +134,17 @@ def _signatures(column) -> np.ndarray:
 
 
 def _roots(runs: int, jaccard: float):
+    """The first two levels of each run, without branching: one shared passage then fills few buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
                 sigs, keys = _signatures(b.column("sig")), b.column("key").to_numpy()
                 for r in range(runs):
-                    root = _mixed(np.full(len(keys), r + 1)).view(np.int64)
-                    rows, paths = children(root, sigs, jaccard)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(paths)], ["key", "path"])
+                    paths = _mixed(np.full(len(keys), r + 1)).view(np.int64)
+                    for _ in range(2):
+                        _, paths = children(paths, sigs, jaccard, most=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(paths)], ["key", "path"])
 
     return run
 
@@ -301,6 +305,8 @@ def jaccard_classes(docs: DataFrame, jaccard: float = JACCARD, recall: float = R
     held = materialize(found.withColumnRenamed("node", "key").join(sets.drop("sig"), "key"), "members")
     # the shingles of one row of each set
     wanted = held.select("key", F.col("one.doc_id").alias("id"), F.col("one.digest").alias("mark"))
+    if held.count() <= BROADCAST_SETS:  # so that the texts of all documents need no shuffle
+        wanted = F.broadcast(wanted)
     source = texts(docs).withColumn("digest", digest()).alias("d").join(
         wanted.alias("w"), F.expr("d.doc_id <=> w.id AND d.digest = w.mark")).select("w.key", "d.text")
     shingled = source.mapInArrow(_shingle(), SHINGLED).dropDuplicates(["key"])
