@@ -128,9 +128,8 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame, disclosure: float = DISC
              .select("kind", "entity", F.explode(terms).alias("term"))
              .groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
     pairs = materialize(pairs.join(times, ["kind", "entity"]), "pii-pairs")
-    wanted = pairs.select("term").distinct()
     held = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    documents = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    documents = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # summed before it meets the pairs
     gain = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     content = F.log(F.lit(float(n)) / F.col("n_e"))
     return (pairs.join(documents, "term").filter(content > 0).withColumn("ratio", gain / content)
