@@ -13,7 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["token_counts", "secrets", "pii", "decontaminate", "jaccard", "toxicity", "packing"]
+MODULES = ["token_counts", "secrets", "pii", "decontaminate", "substrings", "quality", "jaccard", "search",
+           "toxicity", "packing", "pipeline_query"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -23,7 +23,7 @@ WINDOW = 16  # bits of the hash, and so bytes that it depends on
 MASK = np.uint16(0xF800)  # an end once in 32 bytes
 LEAST, MOST = 16, 256
 SEGMENT = 1 << 20
-MIN_WORDS = 20
+MIN_WORDS = 24
 
 
 def rolling(raw: np.ndarray) -> np.ndarray:
