@@ -32,7 +32,7 @@ WIDTH = 5
 JACCARD = 0.8
 RECALL = 0.999
 SIGNATURE = 64
-LEAF = 64
+LEAF = 256
 DEPTH = 10
 #: Pairs whose signatures agree less are not linked: four standard deviations below the threshold.
 ESTIMATE = JACCARD - 4 * math.sqrt(JACCARD * (1 - JACCARD) / SIGNATURE)
@@ -207,7 +207,8 @@ def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF
     rows = sigs.mapInArrow(_roots(runs, jaccard), "key long, path long")
     leaves, links = [], []
     for level in range(1, depth + 1):
-        rows = materialize(rows, "paths")
+        if level == 1:
+            rows = materialize(rows, "paths")
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).filter("size > 1")
         rows = materialize(rows.join(sizes, "path"), "buckets")
         leaves.append(rows.filter(F.col("size") <= leaf).select("path", "key", F.lit(0).alias("cell")))
@@ -224,7 +225,7 @@ def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF
         known = big.join(sigs, "key").join(pivots, "pivot")
         moved = materialize(known.mapInArrow(_split(jaccard), "key long, to long, is_link boolean"), "moved")
         links.append(moved.filter("is_link").select(F.col("key").alias("a"), F.col("to").alias("b")))
-        rows = moved.filter("NOT is_link").select("key", F.col("to").alias("path")).distinct()
+        rows = moved.filter("NOT is_link").select("key", F.col("to").alias("path"))
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
