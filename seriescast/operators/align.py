@@ -10,6 +10,17 @@ from seriescast.operators.layout import blocks, in_order, own_rows
 
 
 MODEL_TYPES = ["rf", "xgb", "lstm", "prophet"]
+#: Other names of the types; models are registered and requests resolved under the first.
+TYPE_ALIASES = {"random_forest": "rf", "xgboost": "xgb", "seq": "lstm", "additive": "prophet"}
+
+
+def model_type(name: str) -> str:
+    return TYPE_ALIASES.get(name.lower(), name.lower())
+
+
+def model_type_of(column: str) -> Column:
+    lower = F.lower(column)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair]), lower), lower)
 
 
 def align_history(history: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -56,18 +67,20 @@ def resolve_models(requests: DataFrame, registry: DataFrame) -> DataFrame:
     models of equal rank the newest is taken, then the first name.
     """
     pick = F.min(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "model_name"))["model_name"]
-    known = registry.where(F.col("model_type").isin(MODEL_TYPES))
-    own = known.where("ticker IS NOT NULL").groupBy("model_type", "ticker").agg(pick.alias("_own"))
-    by_type = known.groupBy("model_type").agg(
+    known = registry.withColumn("model_type", model_type_of("model_type")).where(F.col("model_type").isin(MODEL_TYPES))
+    requests = requests.withColumn("_type", model_type_of("model_type"))
+    known = known.withColumnRenamed("model_type", "_type")
+    own = known.where("ticker IS NOT NULL").groupBy("_type", "ticker").agg(pick.alias("_own"))
+    by_type = known.groupBy("_type").agg(
         F.min(F.when(F.col("ticker").isNull(), F.struct(
             (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "model_name")))["model_name"].alias("_generic"),
         pick.alias("_any"))
-    fallback = F.when(F.col("model_type") != "lstm", F.col("_any"))
+    fallback = F.when(F.col("_type") != "lstm", F.col("_any"))
     return (
-        requests.join(own, ["model_type", "ticker"], "left")
+        requests.join(own, ["_type", "ticker"], "left")
         # one row per known model type, so never more than len(MODEL_TYPES)
-        .join(F.broadcast(by_type), "model_type", "left")
-        .select(*requests.columns,
+        .join(F.broadcast(by_type), "_type", "left")
+        .select(*[c for c in requests.columns if c != "_type"],
                 F.coalesce("_own", "_generic", fallback).alias("model_name"),
                 F.when(F.col("_own").isNotNull(), "specific")
                 .when(F.col("_generic").isNotNull(), "generic")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescast.functions.calendar import business_days, calendar_days
@@ -160,12 +160,15 @@ def predict_next(tails: DataFrame, model: TrainedModel) -> DataFrame:
 
 def _sequence_returns(features: DataFrame, model: TrainedModel, length: int, width: int) -> DataFrame:
     """Mean and interval of the next log return over the trees, from the last full sequence."""
-    recent = features.where(F.col("pos") >= F.col("n_rows") - length).dropna(subset=model.names)
+    # the last complete rows; one with a hole is passed over, as a shorter series would be
+    latest_first = Window.partitionBy("ticker").orderBy(F.desc("pos"))  # tails are bounded
+    recent = features.dropna(subset=model.names).withColumn("_back", F.row_number().over(latest_first)).where(
+        F.col("_back") <= length)
     closing = features.where(F.col("pos") == F.col("n_rows") - 1).select(
         "ticker", F.col("close").alias("last_close"))
     # the tail rows of a series are few, so their look-ups need one block as well
     numbered = recent.withColumns({
-        "pos": F.col("pos") - (F.col("n_rows") - length), "n_rows": F.lit(length).cast("long")})
+        "pos": (F.lit(length) - F.col("_back")).cast("long"), "n_rows": F.lit(length).cast("long")}).drop("_back")
     scaled = scale.apply_with_label(numbered, model.scaler, model.names, model.label)
     packed = F.array_sort(F.collect_list(
         F.struct("pos", F.array(*[F.col(c).cast("double") for c in model.names]).alias("v"))))

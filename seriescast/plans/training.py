@@ -130,10 +130,17 @@ def model_input(frame: DataFrame, names: list[str], scaler: DataFrame | None) ->
     return frame if scaler is None else scale.apply(frame, scaler, [*names, "label"], same=True)
 
 
-def spread_out(rows: DataFrame) -> DataFrame:
-    """A small table read as fewer partitions than there are cores is spread over them."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+PART_ROWS = 20_000
+
+
+def spread_out(rows: DataFrame, keys: tuple[str, ...] = ("ticker", "pos")) -> DataFrame:
+    """Rows dealt by key over partitions whose number follows from their own count.
+
+    Tree models draw their samples partition by partition, so a layout that depended on the
+    cluster would give another model there.
+    """
+    parts = max(8, -(-rows.count() // PART_ROWS))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
 def train(bars: DataFrame, cfg: TrainConfig) -> TrainResult:
@@ -143,7 +150,7 @@ def train(bars: DataFrame, cfg: TrainConfig) -> TrainResult:
     frame, names = training_frame(bars, cfg)
     scaler = fit_scaler(frame, names, cfg)
     ready = model_input(frame, names, scaler)
-    chosen = [*names, "label"]
+    chosen = [*names, "label", "ticker", "pos"]
     if cfg.early_stopping:
         deciding = split.share(split.share(F.col("n_rows"), cfg.ratio), 1 - cfg.early_stopping)
         ready = ready.withColumn("is_validation", F.col("pos") >= deciding)

@@ -39,8 +39,7 @@ def seq_train_eval(spark, sf):
 
 
 def additive_data(spark, sf):
-    frame = recipes.features_additive(fx.bars(spark, sf)).where("pos >= 20")
-    return frame.withColumns({"pos": F.col("pos") - 20, "n_rows": F.col("n_rows") - 20})
+    return recipes.features_additive(fx.bars(spark, sf))
 
 
 @query("additive_train_eval")

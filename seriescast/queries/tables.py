@@ -220,7 +220,7 @@ SQL_LOG = """log AS (
          'U' || CAST(user_id AS VARCHAR) AS ticker, (['rf', 'xgb', 'lstm', 'prophet'])[CAST(user_id % 4 AS INTEGER) + 1] AS model_type,
          CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE'
               ELSE 'PROGRESS' END AS state,
-         CAST(floor(value) AS INTEGER) % 100 AS progress, ts, event_id FROM events WHERE ts < TIMESTAMP '2024-01-29 12:00:00')"""
+         CAST(floor(value) AS INTEGER) % 100 AS progress, ts, event_id FROM events)"""
 SQL_STATUS = """CASE state WHEN 'PENDING' THEN 'queued' WHEN 'PROGRESS' THEN 'running'
   WHEN 'SUCCESS' THEN 'completed' WHEN 'FAILURE' THEN 'failed' END"""
 
@@ -228,7 +228,7 @@ SQL_STATUS = """CASE state WHEN 'PENDING' THEN 'queued' WHEN 'PROGRESS' THEN 'ru
 def log(spark, sf):
     types = F.array(*[F.lit(t) for t in ("rf", "xgb", "lstm", "prophet")])
     user = F.col("user_id").cast("string")
-    return fx.table(spark, sf, "events").where("ts < TIMESTAMP_NTZ '2024-01-29 12:00:00'").select(
+    return fx.table(spark, sf, "events").select(
         F.concat_ws("-", user, F.to_date("ts").cast("string")).alias("job_id"),
         F.concat(F.lit("U"), user).alias("ticker"),
         F.get(types, (F.col("user_id") % 4).cast("int")).alias("model_type"),
@@ -247,11 +247,12 @@ def run_status(spark, sf):
 
 @query("run_timeouts", f"""WITH {SQL_LOG},
 j AS (SELECT job_id, min(ts) AS started, arg_max({SQL_STATUS}, (ts, event_id)) AS status FROM log GROUP BY 1)
-SELECT job_id, started, CASE WHEN TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 10 MINUTE > started
+SELECT job_id, started, CASE WHEN (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE > started
        AND status NOT IN ('completed', 'failed') THEN 'timeout' ELSE status END AS status FROM j""")
 def run_timeouts(spark, sf):
     jobs = runlog.latest_status(log(spark, sf), ["job_id"], ["event_id"])
-    as_of = F.lit("2024-01-29 12:00:00").cast("timestamp_ntz")
+    latest = fx.table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    as_of = F.lit(latest).cast("timestamp_ntz")
     return runlog.with_timeouts(jobs, as_of).select("job_id", "started", "status")
 
 
@@ -262,11 +263,10 @@ def latest_run(spark, sf):
     return align.latest_run(log(spark, sf).select("ticker", "ts", "event_id", "state"), ["ticker"])
 
 
-@query("param_grid", f"""WITH {SYMBOL_BARS}, e AS (SELECT ticker FROM bars GROUP BY 1 HAVING count(*) >= 40)
+@query("param_grid", f"""WITH {SYMBOL_BARS}, e AS (SELECT DISTINCT ticker FROM bars)
 SELECT ticker, 864 AS n_combinations, 432 AS n_100_trees, 216 AS n_unlimited_depth FROM e""")
 def param_grid(spark, sf):
-    series = fx.symbol_bars(spark, sf).groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where("n >= 40")
-    plan = search.search_plan(series.select("ticker"), search.FOREST_SPACE)
+    plan = search.search_plan(fx.symbol_bars(spark, sf).select("ticker").distinct(), search.FOREST_SPACE)
     return plan.groupBy("ticker").agg(
         F.count(F.lit(1)).cast("int").alias("n_combinations"),
         F.count_if(F.col("n_estimators") == "100").cast("int").alias("n_100_trees"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriescast.functions.text import ticker_from_name
+from seriescast.operators.align import model_type
 from seriescast.plans.models import TrainedModel
 
 SCHEMA = T.StructType([
@@ -36,7 +37,7 @@ def save_model(model: TrainedModel, folder: str, name: str, ticker: str | None =
     model.save(path)
     weights = getattr(model.regressor, "featureImportances", None)
     importances = None if weights is None else list(zip(model.selected, weights.toArray().tolist()))
-    row = (name, model.kind, ticker, text_params(model.params), importances, model.metrics,
+    row = (name, model_type(model.kind), ticker, text_params(model.params), importances, model.metrics,
            created_at or dt.datetime.now(), model.training_end and dt.date.fromisoformat(model.training_end))
     spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/registry")
     return path
@@ -47,18 +48,25 @@ def load_model(spark: SparkSession, folder: str, name: str) -> TrainedModel:
 
 
 def registry(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(f"{folder}/registry")
+    """The newest row of every model name; no rows in an empty store."""
+    try:
+        rows = spark.read.schema(SCHEMA).parquet(f"{folder}/registry")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
+    newest = F.max_by(F.struct(*[c for c in SCHEMA.names if c != "model_name"]), F.col("created_at"))
+    return rows.groupBy("model_name").agg(newest.alias("r")).select("model_name", "r.*")
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
     """Registry rows with the size of the stored files; only file names and lengths are read."""
+    rows = registry(spark, folder)
+    if rows.isEmpty():
+        return rows.withColumns({"size_bytes": F.lit(None).cast("long"), "size_mb": F.lit(None).cast("double")})
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/models")
     sizes = files.select(
         F.regexp_extract("path", "/models/([^/]+)/", 1).alias("model_name"), "length"
     ).groupBy("model_name").agg(F.sum("length").alias("size_bytes"))
-    return registry(spark, folder).join(sizes, "model_name", "left").withColumn(
+    return rows.join(sizes, "model_name", "left").withColumn(
         "size_mb", F.round(F.col("size_bytes") / 1048576, 2))
-
-
-def tickers_of(names: DataFrame, column: str = "model_name") -> DataFrame:
-    return names.withColumn("ticker", ticker_from_name(F.col(column)))

@@ -8,13 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_local(master: str) -> bool:
+    """Driver and tasks are one process, so its folders are shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session without one (tests) gets a local folder."""
+    """The cluster's ``spark.checkpoint.dir``; a local session without one gets a folder of its own.
+
+    On a cluster an unset folder is an error, as each executor would write to its own disk.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seriescast-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
