@@ -4,8 +4,8 @@ Features of a text are the distinct hashed words, their stems (the first letters
 word between.  Rates are per coordinate and the L1 term keeps nearly all weights at exactly 0, so the model that
 goes to the tasks is small, and bounded by the number of hash buckets.  Labelled rows are dealt by id to as many
 shards as their number asks for; each shard streams its rows through FTRL from the common state, and the states
-are averaged after every epoch.  So neither a task nor the driver holds the labelled rows, all of them are learnt
-from, and the result doesn't depend on the cluster.
+are averaged after every epoch.  So neither a task nor the driver holds the labelled rows, and the result doesn't
+depend on the cluster.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from seriescast.sources.storage import materialize
 WORD = re.compile(r"[^\W_]+")
 BITS = 18
 STEM = 5
+#: At most so many labelled rows are learnt from.
+MAX_LABELLED = 20_000
 SHARD_ROWS = 20_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
@@ -120,7 +122,7 @@ def train(labelled: DataFrame, shard_rows: int = SHARD_ROWS, epochs: int = EPOCH
     shards = max(1, -(-rows.count() // shard_rows))
     # the same rows are one shard on every cluster, in the same order
     dealt = rows.withColumn("h", F.xxhash64("doc_id")).repartition(shards, F.pmod("h", F.lit(shards)))
-    dealt = dealt.sortWithinPartitions("h", "doc_id", "label").select("label", "at")
+    dealt = dealt.sortWithinPartitions("h", "doc_id", "label").select("label", "at").persist()
     state = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
     for _ in range(epochs):
         moved = dealt.mapInArrow(_epoch(state), "at long, dz double, dn double").groupBy("at").agg(
@@ -130,6 +132,7 @@ def train(labelled: DataFrame, shard_rows: int = SHARD_ROWS, epochs: int = EPOCH
         # a bucket moves by the mean over the shards that saw it
         state[0][at] += moved["dz"].to_numpy() / moved["shards"].to_numpy()
         state[1][at] += moved["dn"].to_numpy() / moved["shards"].to_numpy()
+    dealt.unpersist()
     every = np.arange(BIAS + 1)
     w = Ftrl(*state).weights(every)
     return np.flatnonzero(w), w[w != 0]
@@ -150,11 +153,16 @@ def _score(at: np.ndarray, weight: np.ndarray):
     return run
 
 
-def learn_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents that aren't held out; contradictory labels are left out."""
+def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, text, label) of the labelled documents that aren't held out; contradictory labels are left out.
+
+    Of more than ``max_labelled`` labels a random part of that size (by hash) is used.  As their number is bounded
+    they are broadcast, and the texts need no shuffle.
+    """
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.min("toxic").alias("label"), F.max("toxic").alias("most")).filter("label = most").select("doc_id", "label")
-    return texts(docs).filter(~held_out()).join(marks, "doc_id")
+        F.min("toxic").alias("label"), F.max("toxic").alias("most")).filter("label = most").filter(~held_out())
+    some = marks.orderBy(F.xxhash64(F.lit("learn"), "doc_id"), "doc_id").limit(max_labelled).select("doc_id", "label")
+    return texts(docs).join(F.broadcast(some), "doc_id")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
