@@ -114,7 +114,7 @@ def search(bars: DataFrame, cfg: TrainConfig, candidates: list[Candidate], folds
     train_rows = model_input(frame, names, scaler).where("split = 'train'").withColumn(
         "n_rows", split.share(F.col("n_rows"), cfg.ratio))
     folded = materialize(
-        split.ts_folds(train_rows, folds).select("fold", "role", *names, "label"), "folds", ("fold", "role"))
+        split.ts_folds(train_rows, folds).select("fold", "role", "ticker", "pos", *names, "label"), "folds", ("fold", "role"))
 
     def part(fold: int, role: str) -> DataFrame:
         rows = folded.where((F.col("fold") == fold) & (F.col("role") == role)).drop("fold", "role")

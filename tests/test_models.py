@@ -246,3 +246,50 @@ def test_additive_training_and_storage(spark, tmp_path):
     again = additive.AdditiveModel.load(spark, str(tmp_path))
     a, b = (m.predict(df).orderBy("ds").toPandas()["yhat"] for m in (model, again))
     np.testing.assert_array_equal(a, b)
+
+
+def test_store_lists_each_model_once(spark, tmp_path):
+    from seriescast.sources import registry as store
+
+    folder = str(tmp_path)
+    assert store.registry(spark, folder).collect() == [] == store.list_models(spark, folder).collect()
+    day = dt.datetime(2024, 1, 1)
+    rows = [("m", "lstm", None, {}, None, {}, day + dt.timedelta(days=k), None) for k in range(3)]
+    for row in rows:
+        spark.createDataFrame([row], store.SCHEMA).write.mode("append").parquet(f"{folder}/registry")
+    only = store.registry(spark, folder).collect()
+    assert [(r.model_name, r.created_at) for r in only] == [("m", rows[2][6])]
+
+
+def test_type_names_resolve_alike(spark):
+    from seriescast.operators.align import resolve_models
+
+    stored = spark.createDataFrame([("s", "seq", None), ("a", "additive", "X"), ("r", "rf", None)],
+                                   "model_name string, model_type string, ticker string").withColumn(
+        "created_at", F.lit("2024-01-01").cast("timestamp"))
+    asked = spark.createDataFrame([("X", t) for t in ("seq", "lstm", "additive", "prophet", "random_forest", "nope")],
+                                  "ticker string, model_type string")
+    got = {r.model_type: (r.model_name, r.resolution) for r in resolve_models(asked, stored).collect()}
+    assert got == {"seq": ("s", "generic"), "lstm": ("s", "generic"), "additive": ("a", "specific"),
+                   "prophet": ("a", "specific"), "random_forest": ("r", "generic"), "nope": (None, "none")}
+
+
+def test_every_request_has_an_answer(spark):
+    from seriescast.plans import service
+
+    asked = spark.createDataFrame([("A", "m", "generic"), ("B", "m", "generic"), ("C", None, "none"), ("D", "m", "generic")],
+                                  "ticker string, model_name string, resolution string")
+    bars = spark.createDataFrame([("A",), ("B",), ("B",)], "ticker string")
+    answers = spark.createDataFrame([("A", 1, None, 1.0, 1.0, 1.0, "m", "generic")],
+                                    f"ticker string, {service.ANSWER}, model_used string, resolution string")
+    got = {r.ticker: (r.step, r.reason) for r in service.with_reasons(asked, answers, bars).collect()}
+    assert got == {"A": (1, None), "B": (None, "too short for the model's features: 2 bars"),
+                   "C": (None, "no model"), "D": (None, "no bars")}
+
+
+@pytest.mark.parametrize("master, local", [("local", True), ("local[8]", True), ("local-cluster[2,1,1024]", False),
+                                           ("yarn", False), ("spark://host:7077", False)])
+def test_only_one_process_shares_a_local_folder(master, local):
+    from seriescast.sources.storage import is_local
+
+    assert is_local(master) is local
