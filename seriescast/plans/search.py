@@ -94,7 +94,7 @@ def search_plan(series: DataFrame, space: dict[str, list]) -> DataFrame:
 def sample_per_series(series: DataFrame, space: dict[str, list], n: int, seed: int = M.SEED) -> DataFrame:
     """``n`` distinct combinations for every series: those with the smallest seeded hashes."""
     plan = search_plan(series, space)
-    draw = F.xxhash64(F.lit(seed), "ticker", *space)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "ticker", *[F.coalesce(c, F.lit("None")) for c in space]).cast("binary"))
     # a series has as many rows as the grid has combinations
     order = Window.partitionBy("ticker").orderBy(draw, *space)
     return plan.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n)

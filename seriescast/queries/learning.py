@@ -159,11 +159,13 @@ def saved(spark, sf):
     return folder, bars, model
 
 
-@query("model_save")
+@query("model_save", """
+SELECT 'xgb_model_generic' AS model_name, 'xgb' AS model_type, CAST(NULL AS VARCHAR) AS ticker, true AS has_features,
+       true AS has_rmse, max(CAST(o_orderdate AS DATE)) AS training_end_date FROM orders""")
 def model_save(spark, sf):
     folder, _, _ = saved(spark, sf)
     return store.registry(spark, folder).select(
-        "model_name", "model_type", "ticker", F.size("feature_importances").alias("n_features"),
+        "model_name", "model_type", "ticker", (F.size("feature_importances") > 0).alias("has_features"),
         F.map_contains_key("metrics", "RMSE").alias("has_rmse"), "training_end_date")
 
 
@@ -181,20 +183,39 @@ def model_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("after")).alias("n_changed"))
 
 
-@query("registry_list")
+@query("registry_list", """
+SELECT 'xgb_model_generic' AS model_name, 'xgb' AS model_type, true AS stored, true AS sized,
+       max(CAST(o_orderdate AS DATE)) AS training_end_date, DATE '2024-01-03' AS created FROM orders""")
 def registry_list(spark, sf):
-    folder, _, _ = saved(spark, sf)
+    """A model saved twice is listed once, by its newest row."""
+    folder, _, model = saved(spark, sf)
+    store.save_model(model, folder, "xgb_model_generic", None, dt.datetime(2024, 1, 3))
     listed = store.list_models(spark, folder)
-    return listed.select("model_name", "model_type", (F.col("size_bytes") > 0).alias("stored"), "size_mb")
-
-
-@query("forecast_job")
+    return listed.select("model_name", "model_type", (F.col("size_bytes") > 0).alias("stored"),
+                         (F.col("size_mb") > 0).alias("sized"), "training_end_date", F.to_date("created_at").alias("created"))
+
+
+@query("forecast_job", """
+WITH b AS (SELECT DISTINCT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders),
+l AS (SELECT ticker, max(d) AS d, count(*) AS n, count(*) FILTER (d >= (SELECT max(d) FROM b) - 400) > 65 AS enough
+      FROM b GROUP BY 1)
+SELECT ticker, CASE WHEN enough THEN CAST(1 AS INTEGER) END AS step,
+       CASE WHEN enough THEN CAST(d + CASE isodow(d) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE) END AS ds,
+       CASE WHEN ticker = '1-URGENT' THEN 'xgb_model_URGENT' ELSE 'xgb_model_generic' END AS model_used,
+       CASE WHEN ticker = '1-URGENT' THEN 'specific' ELSE 'generic' END AS resolution,
+       CASE WHEN NOT enough THEN 'too short for the model''s features: ' || n || ' bars' END AS reason,
+       CASE WHEN enough THEN true END AS ordered FROM l
+UNION ALL SELECT 'NOBARS', NULL, NULL, 'xgb_model_generic', 'generic', 'no bars', NULL
+UNION ALL SELECT 'NOMODEL', NULL, NULL, NULL, 'none', 'no model', NULL""")
 def forecast_job(spark, sf):
-    """Requests resolved to stored models and forecast from the window each model needs."""
+    """Requests resolved to stored models and forecast from the window each model needs; all are answered."""
     folder, bars, model = saved(spark, sf)
     store.save_model(model, folder, "xgb_model_URGENT", "1-URGENT", dt.datetime(2024, 1, 2))
-    wanted = bars.select("ticker", F.lit("xgb").alias("model_type")).distinct()
-    return service.forecast_requests(spark, folder, wanted, bars, 1)
+    wanted = bars.select("ticker", F.lit("xgboost").alias("model_type")).distinct().unionByName(
+        spark.createDataFrame([("NOBARS", "xgb"), ("NOMODEL", "rf")], "ticker string, model_type string"))
+    rows = service.forecast_requests(spark, folder, wanted, bars, 1)
+    return rows.select("ticker", "step", "ds", "model_used", "resolution", "reason",
+                       F.expr("lower_bound <= prediction AND prediction <= upper_bound").alias("ordered"))
 
 
 @query("evaluate_saved")

@@ -21,6 +21,7 @@ from seriescast.queries.registry import (
     sql_rnd,
     sql_series,
 )
+from seriescast.plans.models import SEED
 from seriescast.queries.scans import SYMBOL_BARS, SYMBOLS
 from seriescast.sources import fixtures as fx
 from seriescast.sources.bars import UNIVERSE
@@ -273,7 +274,16 @@ def param_grid(spark, sf):
         F.count_if(F.col("max_depth").isNull()).cast("int").alias("n_unlimited_depth"))
 
 
-@query("param_sample")
+def sql_options(name: str, values: list) -> str:
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"(SELECT unnest([{listed}]::VARCHAR[]) AS {name}) AS o_{name}"
+
+
+@query("param_sample", f"""WITH {SYMBOL_BARS}, s AS (SELECT DISTINCT ticker FROM bars),
+g AS (SELECT *, md5(concat_ws('|', '{SEED}', ticker, {', '.join(f"coalesce({c}, 'None')" for c in search.FOREST_SPACE)})) AS h
+      FROM s, {', '.join(sql_options(c, v) for c, v in search.FOREST_SPACE.items())})
+SELECT ticker, {', '.join(search.FOREST_SPACE)}, CAST(row_number() OVER (PARTITION BY ticker ORDER BY h) AS INTEGER) AS draw
+FROM g QUALIFY draw <= 10""")
 def param_sample(spark, sf):
     """Ten distinct draws of the grid per series, by the smallest seeded hashes."""
     series = fx.symbol_bars(spark, sf).select("ticker").distinct()
