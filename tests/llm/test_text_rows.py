@@ -45,7 +45,7 @@ def tokens(own, text):
 # --- tokens -----------------------------------------------------------------------------
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 's.1\n\t!|<>é日ſ 　\x1c") + ["<|endoftext|>", "😀", "'re"]), max_size=40))
+@given(st.lists(st.sampled_from([*"ab 's.1\n\t!|<>é日ſ 　\x1c", "<|endoftext|>", "😀", "'re"]), max_size=40).map("".join))
 def test_ids_are_the_librarys(text):
     bpe = load("byte_bpe_50k.json")
     ids, ends = bpe.offsets(text)
