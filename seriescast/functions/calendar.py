@@ -41,7 +41,3 @@ def future_dates(last: DataFrame, horizon: int, calendar: str = "business") -> D
     make = {"business": business_days, "day": calendar_days}[calendar]
     return last.select("ticker", F.posexplode(make(F.col("last_ds"), horizon)).alias("step", "ds")).select(
         "ticker", (F.col("step") + 1).alias("step"), "ds")
-
-
-def without_time_zone(ts: Column) -> Column:
-    return ts.cast("timestamp_ntz")

@@ -120,8 +120,3 @@ def unblocked(df: DataFrame) -> DataFrame:
 
 def in_order() -> WindowSpec:
     return Window.partitionBy("ticker", "blk").orderBy("pos")
-
-
-def last_k(k: int) -> WindowSpec:
-    """The current row and the ``k - 1`` rows before it, fewer at the head of a series."""
-    return in_order().rowsBetween(-(k - 1), 0)

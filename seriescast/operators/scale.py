@@ -99,10 +99,3 @@ def invert(df: DataFrame, params: DataFrame, columns: dict[str, str], same: bool
     used, extra = _parameters(params, fitted, same)
     return with_series_values(df, used).withColumns(
         {name: unscaled(name, c) for name, c in columns.items()}).drop(*extra)
-
-
-def long_parameters(params: DataFrame, columns: list[str]) -> DataFrame:
-    """Parameters as rows ``(ticker, name, center, spread)``."""
-    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(_c(c)).alias("center"),
-                              F.col(_s(c)).alias("spread")) for c in columns])
-    return params.select("ticker", F.inline(rows))

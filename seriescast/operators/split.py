@@ -113,11 +113,3 @@ def sequences(df: DataFrame, features: list[str], label: str, length: int, start
     return own_rows(framed).where(F.col("pos") - start >= length).select(
         *[c for c in ("ticker", "ds", "pos", "n_rows", "split") if c in framed.columns],
         "sequence", F.col(label).alias("label"))
-
-
-def latest_sequences(df: DataFrame, features: list[str], length: int) -> DataFrame:
-    """The last ``length`` rows of every series that has them, oldest first."""
-    rows = tail(df, length).where(F.col("n_rows") >= length)
-    packed = F.array_sort(F.collect_list(
-        F.struct("pos", F.array(*[F.col(c).cast("double") for c in features]).alias("v"))))
-    return rows.groupBy("ticker").agg(F.transform(packed, lambda r: r["v"]).alias("sequence"))

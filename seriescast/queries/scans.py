@@ -140,6 +140,7 @@ SELECT p_partkey, CASE p_partkey % 11
   WHEN 7 THEN 'xgb_model_' || w WHEN 8 THEN '12345' WHEN 9 THEN lower(w) || '_model' ELSE 'best_' || w END AS model_name
 FROM (SELECT p_partkey, upper(substr(p_type, 1, 1 + CAST(p_partkey % 6 AS INTEGER))) AS w FROM part) q"""
 
+# The patterns of stored names, as in functions/text.py.
 _SQL_PATTERNS = ", ".join(
     f"nullif(regexp_extract(model_name, '{p}', 1, 'i'), '')" for p in [
         r"^lstm_model_([A-Z]{1,5})$", r"_([A-Z]{1,5})\.(?:keras|joblib|pkl|h5)$",

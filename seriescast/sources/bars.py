@@ -13,22 +13,22 @@ from seriescast.operators.windows import add, green_day
 PRICE_COLUMNS = ["open", "high", "low", "close"]
 
 # The symbols offered for selection.
-UNIVERSE = """
-AAPL GOOGL MSFT AMZN TSLA META NVDA NFLX ORCL CRM ADBE INTC AMD
-JPM BAC WFC GS MS C BRK-B V MA AXP
-JNJ PFE UNH ABBV MRK TMO ABT DHR BMY LLY
-XOM CVX COP EOG SLB MPC VLO PSX
-WMT HD PG KO PEP MCD NKE SBUX DIS COST
-BA CAT GE LMT RTX HON UPS FDX MMM
-T VZ TMUS CMCSA
-NU VALE ITUB BBD PBR GGAL YPF MELI GLOB
-SPY QQQ IWM EFA EEM VTI VEA VWO SPE
-GLD SLV USO UNG DXY UUP
-VIX UVXY SQQQ TQQQ
-BTC-USD ETH-USD ADA-USD DOT-USD SOL-USD MATIC-USD
-VNQ REZ IYR
-CIB BABA TSM ASML
-""".split()
+UNIVERSE = [
+    "AAPL", "GOOGL", "MSFT", "AMZN", "TSLA", "META", "NVDA", "NFLX", "ORCL", "CRM", "ADBE", "INTC", "AMD",
+    "JPM", "BAC", "WFC", "GS", "MS", "C", "BRK-B", "V", "MA", "AXP",
+    "JNJ", "PFE", "UNH", "ABBV", "MRK", "TMO", "ABT", "DHR", "BMY", "LLY",
+    "XOM", "CVX", "COP", "EOG", "SLB", "MPC", "VLO", "PSX",
+    "WMT", "HD", "PG", "KO", "PEP", "MCD", "NKE", "SBUX", "DIS", "COST",
+    "BA", "CAT", "GE", "LMT", "RTX", "HON", "UPS", "FDX", "MMM",
+    "T", "VZ", "TMUS", "CMCSA",
+    "NU", "VALE", "ITUB", "BBD", "PBR", "GGAL", "YPF", "MELI", "GLOB",
+    "SPY", "QQQ", "IWM", "EFA", "EEM", "VTI", "VEA", "VWO", "SPE",
+    "GLD", "SLV", "USO", "UNG", "DXY", "UUP",
+    "VIX", "UVXY", "SQQQ", "TQQQ",
+    "BTC-USD", "ETH-USD", "ADA-USD", "DOT-USD", "SOL-USD", "MATIC-USD",
+    "VNQ", "REZ", "IYR",
+    "CIB", "BABA", "TSM", "ASML",
+]
 
 PERIOD_YEARS = {"1_year": 1, "3_years": 3, "5_years": 5, "10_years": 10}
 DEFAULT_START = "2020-12-10"

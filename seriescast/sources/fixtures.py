@@ -28,14 +28,6 @@ def symbol_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "o_orderkey")
 
 
-def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series per customer nation."""
-    orders = table(spark, sf_dir, "orders").join(
-        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
-    ).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return daily_bars(orders, "n_name", "o_orderdate", "o_totalprice", "o_orderkey")
-
-
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five 30-row series: one per event type."""
     return daily_bars(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")
