@@ -168,9 +168,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``.
 
-    A null or empty text gets the score of the bias alone, and so does every text if no label can be learnt
-    from (score 0.5 then, predicted 1 only if labels said so: without a model ``predicted`` is 0).  Rows with a
-    null id are scored, never learnt from; repeated rows each give their row.
+    A null or empty text gets the score of the bias alone.  If no label can be learnt from, every score is 0 and
+    nothing is predicted toxic.  Rows with a null id are scored, never learnt from; repeated rows each give theirs.
     """
     at, weight = train(learn_from(docs, labels))
     score = F.col("score") if len(at) else F.lit(0.0)
