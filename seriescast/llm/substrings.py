@@ -2,8 +2,8 @@
 
 A chunk ends where the rolling hash of the last sixteen bytes has its upper bits at zero, so the ends inside a
 passage depend on the passage alone and an insertion moves only the ends next to it.  Chunks have a least and a
-greatest length.  Digests found in more than one document mark their chunks; neighbouring marked chunks are one
-span.
+greatest length.  Digests found in more than one document mark their chunks; neighbouring marked chunks with the
+same first document are one span.
 """
 
 from __future__ import annotations
@@ -96,10 +96,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, digest, start, end, n_words, n_chunks, first_doc_id, kept): spans found in other documents too.
 
     Places are in code points.  ``kept`` says that this document is the first with all of the span, by id; it is
-    what stays when repeats are removed.  Repeats within one document alone don't count, nor do rows of one id
+    what stays when repeats are removed.  A run of repeated chunks is cut where their first document changes, so
+    every chunk stays in its own.  Repeats within one document alone don't count, nor do rows of one id
     count as other documents; documents without id are told apart by their text and
     keep a span only where no document with an id has it.  Null
-    and empty texts have no spans.  Spans of fewer than ``min_words`` words are left out.
+    and empty texts have no spans.  Runs of fewer than ``min_words`` words are left out; a span that is a part of a
+    longer run may have fewer.
     """
     rows = texts(docs).withColumn("digest", digest())
     counted = rows.mapInArrow(_chunks(True), "doc_id long, digest long, chunk binary").withColumn("doc", F.coalesce(
@@ -109,11 +111,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = materialize(shared.select("chunk", "first_doc_id"), "shared-chunks")
     marked = rows.mapInArrow(_chunks(False), CHUNKS).join(shared, "chunk").drop("chunk").distinct()
     w = Window.partitionBy("doc_id", "digest").orderBy("no")
-    runs = marked.withColumn("run", F.col("no") - F.row_number().over(w)).groupBy("doc_id", "digest", "run").agg(
+    same = F.lag("no").over(w).eqNullSafe(F.col("no") - 1) & F.lag("first_doc_id").over(w).eqNullSafe(F.col("first_doc_id"))
+    parts = marked.withColumn("run", F.col("no") - F.row_number().over(w)).withColumn("new", F.when(same, 0).otherwise(1))
+    spans = parts.withColumn("part", F.sum("new").over(w)).groupBy("doc_id", "digest", "run", "part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
         F.count(F.lit(1)).alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"),
         F.min(F.expr("first_doc_id <=> doc_id")).alias("kept"))
-    return runs.filter(F.col("n_words") >= min_words).drop("run")
+    whole = F.sum("n_words").over(Window.partitionBy("doc_id", "digest", "run"))
+    return spans.withColumn("run_words", whole).filter(F.col("run_words") >= min_words).drop("run", "part", "run_words")
 
 
 def _without():

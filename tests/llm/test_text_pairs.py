@@ -188,6 +188,35 @@ def test_repeated_spans(spark):
     assert substrings.repeated_spans(table(spark, [])).collect() == []
 
 
+def test_every_repeated_chunk_stays_in_its_first_document(spark):
+    rng = random.Random(11)
+    shared, own, tail = sentence(rng, 60), sentence(rng, 120), sentence(rng, 60)
+    rows = [(1, f"{sentence(rng, 40)} {shared} {sentence(rng, 40)}"), (2, f"{own} {shared} {tail}"), (4, f"{own} {shared} {tail}"),
+            (5, f"{tail} {sentence(rng, 90)}"), (None, f"{own} {shared}"), (6, None)]
+    docs = table(spark, rows)
+    chunks = {}
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        ends = substrings.chunk_ends(raw, (raw & 0xC0) != 0x80) if len(raw) else []
+        chunks[i, t] = [(a, e, t[a:e]) for a, e in zip([0, *ends], ends)]
+    holders = defaultdict(set)
+    for (i, t), found in chunks.items():
+        for *_, c in found:
+            holders[c].add(i)
+    spans = substrings.repeated_spans(docs).collect()
+    cut = {(r.doc_id, r.text) for r in substrings.without_repeats(docs).collect()}
+    assert {r.first_doc_id for r in spans if r.doc_id == 4} == {1, 2}
+    for r in spans:
+        inside = [c for (i, t), found in chunks.items() if i == r.doc_id for a, e, c in found
+                  if r.start <= a and e <= r.end]
+        firsts = {min((i for i in holders[c] if i is not None), default=None) for c in inside}
+        assert firsts == {r.first_doc_id} and r.kept == (r.first_doc_id == r.doc_id)
+    for c, ids in holders.items():
+        if len(ids) > 1:
+            first = min(i for i in ids if i is not None)
+            assert any(c in t for i, t in cut if i == first), (first, c)
+
+
 # --- near copies ------------------------------------------------------------------------
 
 def test_components(spark):
