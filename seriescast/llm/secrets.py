@@ -2,7 +2,7 @@
 
 Words and identifiers take few tokens for their length, random strings many.  Runs of key characters whose
 characters per token fall below a threshold are reported, unless they are digests of a usual length, UUIDs,
-numbers, or made of words.
+numbers, or words and numbers between separators.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+SEPARATORS = re.compile(r"[-_/+=]+")
+NUMBERED = re.compile(r"[A-Za-z]{0,3}[0-9]+")  # v2, rc1, 2024
+#: Of random lower-case keys of 16 letters, one in nine takes a token for exactly two characters or more.
+LETTERS_PER_TOKEN = 2.05
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -45,23 +49,32 @@ def base_spans(text: str) -> list[Span]:
 
 
 def is_known(s: str) -> bool:
-    """Digests, UUIDs, and what is made of words and numbers."""
+    """Digests, UUIDs, and numbers with their separators."""
     if HEX_ONLY.fullmatch(s) and len(s) in DIGEST_LENGTHS or UUID.fullmatch(s):
         return True
-    runs = re.findall(r"[A-Za-z]+|[0-9]+", s)
-    # few changes between letters and digits for the length: names with a number, dates, slugs
-    changes = sum(a[0].isdigit() != b[0].isdigit() for a, b in zip(runs, runs[1:]))
-    return not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or changes < 3
+    return not any(c.isalpha() for c in s)
 
 
-def random_spans(text: str, bpe, base: list[Span], chars_per_token: float) -> list[Span]:
-    """Key-like runs outside ``base`` that take a token for fewer than ``chars_per_token`` characters."""
+def is_identifier(s: str, bpe, chars_per_token: float) -> bool:
+    """Numbers, such as dates and versions, between words that the tokenizer compresses."""
+    parts = [p for p in SEPARATORS.split(s) if p]
+    rest = [p for p in parts if not NUMBERED.fullmatch(p)]
+    return len(rest) < len(parts) and all(len(p) >= chars_per_token * len(bpe.ids(p)) for p in rest)
+
+
+def random_spans(text: str, bpe, base: list[Span], chars_per_token: float,
+                 letters_per_token: float = LETTERS_PER_TOKEN) -> list[Span]:
+    """Key-like runs outside ``base`` that take a token for fewer than ``chars_per_token`` characters.
+
+    Runs of letters alone, which the tokenizer was made for, are held against ``letters_per_token`` if that is more.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
         s = m[0].strip("=-_/+")
         if len(s) < 16 or is_known(s) or any(a < m.end() and m.start() < e for a, _, e in base):
             continue
-        if len(s) < chars_per_token * len(bpe.ids(s)):
+        ratio = max(chars_per_token, letters_per_token) if s.isalpha() else chars_per_token
+        if len(s) < ratio * len(bpe.ids(s)) and not is_identifier(s, bpe, chars_per_token):
             found.append((m.start(), 3, m.end()))
     return found
 

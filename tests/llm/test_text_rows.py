@@ -1,7 +1,9 @@
 """Operators that judge each row by itself: token counts, secrets, toxicity, quality, packing."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import defaultdict
 
@@ -115,6 +117,24 @@ def test_known_strings_are_no_secrets(text):
     assert secrets.random_spans(text, load("byte_bpe_50k.json"), [], 2.0) == []
 
 
+@pytest.mark.parametrize("alphabet, share", [(string.ascii_letters + string.digits, 0.995), (string.ascii_letters, 0.99),
+                                             (string.ascii_uppercase + "234567", 0.985), (string.ascii_lowercase, 0.97),
+                                             (string.ascii_letters + string.digits + "-_", 0.985)])
+def test_planted_random_keys_are_found(alphabet, share):
+    rng, bpe = random.Random(13), load("byte_bpe_50k.json")
+    for length in (16, 20, 24, 32):
+        keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(1000)]
+        keys = [k for k in keys if len(k.strip("-_")) == length and re.search("[A-Za-z]", k)]
+        found = sum(secrets.random_spans(f"a {k} b", bpe, [], 2.0) == [(2, 3, 2 + length)] for k in keys)
+        assert found >= share * len(keys), (length, found, len(keys))
+
+
+@pytest.mark.parametrize("text", ["release-2024-01-01-v2", "log-2024-01-01-12-30-55", "getUserAccountByIdentifier",
+                                  "src/main/java/com/example", "report_2023-11-30_final", "4111111111111111"])
+def test_identifiers_are_no_secrets(text):
+    assert secrets.random_spans(text, load("byte_bpe_50k.json"), [], 2.0) == []
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 def toy(n=400):
