@@ -48,14 +48,8 @@ def sketches(items: DataFrame, containment: float) -> DataFrame:
     return sized.select("item_id", "n", F.explode(F.slice("hs", F.lit(1), kept)).alias("h"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every document that holds an item.
-
-    ``items`` has item_id and text.  Containment is the share of the item's distinct runs of five words that the
-    document has; words are compared in lower case without punctuation.  Items or documents with fewer than five
-    words have no runs and never match, nor do null texts.  Rows of one id are one document's texts, of which the
-    best counts; rows without id count together.  Repeated items of one id are one item, its first text by order.
-    """
+def verified(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, digest, item_id, n_item, n_shared) of every text that holds an item, see ``contained_items``."""
     rows = texts(docs).withColumn("digest", digest())
     tests = items.groupBy("item_id").agg(F.min("text").alias("text"))
     sketch = materialize(sketches(tests, containment), "sketches")
@@ -72,16 +66,32 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     both = wanted.alias("w").join(held.alias("h"), same_row("w", "h") & F.expr("w.shingle = h.shingle"))
     counts = both.groupBy("w.doc_id", "w.digest", "w.item_id").agg(
         F.max("w.n_item").cast("long").alias("n_item"), F.count(F.lit(1)).alias("n_shared"))
-    good = counts.filter(F.col("n_shared") >= F.col("n_item") * containment - 1e-9)
+    return counts.filter(F.col("n_shared") >= F.col("n_item") * containment - 1e-9)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every document that holds an item.
+
+    ``items`` has item_id and text.  Containment is the share of the item's distinct runs of five words that the
+    document has; words are compared in lower case without punctuation.  Items or documents with fewer than five
+    words have no runs and never match, nor do null texts.  Rows of one id are one document's texts, of which the
+    best counts; rows without id count together.  Repeated items of one id are one item, its first text by order.
+    """
+    good = verified(docs, items, containment)
     return good.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared")
                                                  ).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item; rows without id can't be named and stay."""
-    found = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    bad = materialize(found.filter("doc_id IS NOT NULL"), "contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    """The rows of ``docs`` whose document holds no benchmark item; a row without id is a document of its own."""
+    found = verified(docs, table(spark, sf_dir, "benchmark"))
+    mark = lambda doc_id, own: F.when(doc_id.isNull(), own)
+    bad = materialize(found.select(F.col("doc_id").alias("bad_id"), mark(F.col("doc_id"), F.col("digest")).alias("bad_text"))
+                      .distinct(), "contaminated")
+    id_ = F.col("doc_id").cast("long")
+    own = mark(id_, digest(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.join(bad, id_.eqNullSafe(F.col("bad_id")) & own.eqNullSafe(F.col("bad_text")), "left_anti")
+
 
 
 SQL = """

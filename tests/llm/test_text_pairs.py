@@ -140,6 +140,17 @@ def test_decontamination_stage(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted({r.doc_id for r in docs.collect()} - bad | {-1})
 
 
+def test_decontamination_of_rows_without_id(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text), key=len)
+    rng = random.Random(14)
+    rows = [(None, f"{sentence(rng)} {item}"), (None, item), (None, "clean " + sentence(rng)), (None, None), (1, item),
+            (1, "other text of a document that holds an item"), (2, sentence(rng))]
+    more = table(spark, rows)
+    kept = decontaminate.stage_decontaminate(spark, more, SF)
+    assert kept.columns == more.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[2], rows[3], rows[6]])
+
+
 # --- repeats ----------------------------------------------------------------------------
 
 def test_chunks_cover_and_resync():
