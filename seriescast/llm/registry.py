@@ -14,7 +14,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ["token_counts", "secrets", "pii", "decontaminate", "substrings", "quality", "jaccard", "search",
-           "toxicity", "packing", "pipeline_query"]
+           "toxicity", "packing", "collocations", "mixing", "spelling", "pipeline_query"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

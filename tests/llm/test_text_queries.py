@@ -27,8 +27,8 @@ def test_matches_sql(spark, duck, name):
     assert ok, note
 
 
-def test_all_eleven_are_registered():
-    assert {n.split("_")[0] for n in llm.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+def test_all_fourteen_are_registered():
+    assert {n.split("_")[0] for n in llm.QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 def test_pipeline(spark):
