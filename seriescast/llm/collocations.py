@@ -1,4 +1,4 @@
-"""Phrase collocations per language, mined level by level through a broadcast double-array trie.
+"""Phrase collocations per language, mined level by level through a broadcast trie of frequent phrases.
 
 Texts are lower-cased in A-Z only (a null text is empty), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces, and pieces
 into words, the runs of ``[^\\x20\\x09]+``.  Per language (null: ``und``), ``n`` counts all word occurrences and
@@ -6,17 +6,20 @@ f(phrase) all contiguous occurrences of a phrase inside one piece, overlapping o
 
 Method.  Level 1 is a plain Spark count of (lang, word).  A phrase can reach ``MIN_COUNT`` only if each of its
 shorter parts does (Apriori), so the trie holds only frequent phrases: the frequent words of every language are
-its first level (state = word id), the frequent word pairs its second.  Each level is built on the driver as a
-double array (``base``/``check``) and shipped to the tasks with the function.  A task turns its texts into one
-numpy array of word ids (0 for a rare word and between pieces), and advances the states of *all* positions at
-once: ``t = base[s] + id`` is the child where ``check[t] == s``.  Positions whose prefix state and suffix state are
-both frequent give a key (state, next word); keys are counted per batch (``np.unique``) and Spark sums the
-shards.  Keys of a level's pair (state, word) are not enumerated before counting, since candidates joined from
-frequent parts would pair every left with every right neighbour of a common word.
-
-The trie is shipped only when its node count is at most ``TRIE_NODES`` (about 40 bytes a node in the tasks);
-beyond that the same counts come from ``ngram_counts_native``, an exact Spark count of every 2- and 3-word
-window, which is also the brute force of the tests.
+its first level (state = word id), the frequent word pairs its second.  Texts are turned once into arrays of word
+ids (0 for a rare word and after every piece) and stored; for each level a task advances the states of *all*
+positions of a text at once in numpy, and positions whose prefix state and suffix state are both frequent give a
+key (state, next word).  Keys are counted per task (``np.unique``, merged every few million) and Spark sums the
+shards.  A level's keys are not listed before counting, since candidates joined from frequent parts would pair
+every left with every right neighbour of a common word.
+
+The levels are sorted arrays of keys ``parent * span + word`` searched with ``np.searchsorted`` (logarithmic)
+rather than a double array (``base + word``, constant): children of common words span the whole vocabulary, and a
+double array placed by first fit grew past the driver's 1500 MB on 0.5 GB in the check tool (commit 8baa98d).
+
+The trie is shipped only when its node count is at most ``TRIE_NODES`` (8 bytes a pair and a word's text in the
+tasks); beyond that the same counts come from ``ngram_counts_native``, an exact Spark count of every 2- and
+3-word window, which is also the brute force of the tests.  Phrases are decoded from keys by joins in Spark.
 
 Scores.  A candidate is a phrase of 2 or 3 words with a = f >= ``MIN_COUNT``.  Each cut after k words gives
 l = f(first part), r = f(rest) and floor(1e6 a^2 / (l r)); the lowest counts, ties to the smallest k.  Arithmetic
@@ -32,9 +35,11 @@ never read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,153 +99,166 @@ def ngram_counts_native(docs: DataFrame, longest: int = LONGEST, min_count: int
     return out.groupBy("lang", "words").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= min_count)
 
 
-class DoubleArray:
-    """A trie over word ids as two arrays: the child of state ``s`` by id ``c`` is ``t = base[s] + c`` if ``check[t] == s``.
+class TrieLevels:
+    """The trie of frequent phrases, one sorted array of keys ``parent * span + word`` per level above the first.
 
-    State 0 is the root and the root's child by id ``c`` is state ``c``, so ids 1..V are the first level.
+    State 0 is the root, states 1..V are the words (a word's id), and the states of a level follow those of the
+    level below in key order.  ``step`` finds the children of all positions at once with ``np.searchsorted``.
     """
 
     def __init__(self, words: int):
-        self.words = words
-        size = words + 1
-        self.base = np.zeros(size, np.int64)
-        self.check = np.full(size, -1, np.int64)
-        self.check[1:] = 0
-        self.parent = np.zeros(size, np.int64)
-        self.symbol = np.arange(size, dtype=np.int64)
-        self.free_from = size
-
-    def _grow(self, size: int) -> None:
-        if size <= len(self.check):
-            return
-        size = max(size, 2 * len(self.check))
-        for name, fill in (("base", 0), ("check", -1), ("parent", 0), ("symbol", 0)):
-            old = getattr(self, name)
-            new = np.full(size, fill, np.int64)
-            new[:len(old)] = old
-            setattr(self, name, new)
-
-    def add_level(self, parents: np.ndarray, symbols: np.ndarray, window: int = 4096) -> np.ndarray:
-        """Adds the children (parent, symbol), which are sorted by parent, then symbol; returns their states.
-
-        Each parent gets the least base from the first free cell on at which all its children find free cells,
-        tried for ``window`` bases at a time: one vector operation per child and window.
-        """
-        states = np.empty(len(parents), np.int64)
-        if len(parents) == 0:
-            return states
-        cuts = np.flatnonzero(np.diff(parents)) + 1
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(parents)]):
-            cs = symbols[lo:hi]
-            start = max(self.free_from - int(cs[0]), 1)
-            while True:
-                self._grow(start + int(cs[-1]) + window)
-                free = self.check == -1
-                ok = np.ones(window, bool)
-                for c in cs.tolist():
-                    ok &= free[start + c:start + c + window]
-                    if not ok.any():
-                        break
-                if ok.any():
-                    b = start + int(np.argmax(ok))
-                    break
-                start += window
-            p = int(parents[lo])
-            self.base[p] = b
-            self.check[b + cs] = p
-            self.parent[b + cs] = p
-            self.symbol[b + cs] = cs
-            states[lo:hi] = b + cs
-            while self.free_from < len(self.check) and self.check[self.free_from] != -1:
-                self.free_from += 1
-        return states
-
-    def step(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The child of every state by the id beside it, 0 where there is none."""
-        ok = (states > 0) & (ids > 0)
-        t = np.where(ok, self.base[states] + ids, 0)
-        ok &= t < len(self.check)
-        t = np.where(ok, t, 0)
-        ok &= self.check[t] == states
-        return np.where(ok, t, 0)
-
-
-def _ids(texts: pa.Array, langs: pa.Array, vocab: dict[str, dict[str, int]]) -> np.ndarray:
-    """Word ids of a batch in one array, 0 for rare words and between pieces."""
-    out: list[int] = [0]
-    for text, lang in zip(texts.to_pylist(), langs.to_pylist()):
-        known = vocab.get("und" if lang is None else lang)
-        if not text or known is None:
-            continue
-        for piece in _CUT.split(text.translate(_LOWER)):
-            ws = _WORD.findall(piece)
-            if ws:
-                out.extend(known.get(w, 0) for w in ws)
-                out.append(0)
-    return np.asarray(out, np.int64)
-
-
-def _level_counts(vocab: dict[str, dict[str, int]], trie: DoubleArray, level: int):
-    """Counts of (state of the first ``level - 1`` words, next word id) per batch, for frequent states only."""
-    span = trie.words + 1
+        self.span = words + 1
+        self.levels: list[tuple[np.ndarray, int]] = []
+        self.size = self.span
+
+    def add_level(self, keys: np.ndarray) -> None:
+        """Adds the sorted keys ``parent * span + word`` of a level; their states follow in that order."""
+        self.levels.append((np.asarray(keys, np.int64), self.size))
+        self.size += len(keys)
+
+    def step(self, states: np.ndarray, ids: np.ndarray, level: int = 0) -> np.ndarray:
+        """The child of every state by the id beside it in the ``level``-th added level, 0 where there is none."""
+        keys, first = self.levels[level]
+        wanted = states * self.span + ids
+        at = np.searchsorted(keys, wanted)
+        ok = (states > 0) & (ids > 0) & (at < len(keys))
+        ok[ok] = keys[at[ok]] == wanted[ok]
+        return np.where(ok, first + at, 0)
+
+
+_VOCABS: dict[str, dict[str, pd.Index]] = {}
+
+
+def _vocab_index(token: str, vocab: dict[str, list[str]]) -> dict[str, pd.Index]:
+    """Hash indexes of the words of each language, built once per Python worker."""
+    if token not in _VOCABS:
+        _VOCABS.clear()
+        _VOCABS[token] = {lang: pd.Index(ws, dtype=object) for lang, ws in vocab.items()}
+    return _VOCABS[token]
+
+
+def _id_rows(token: str, vocab: dict[str, list[str]], offsets: dict[str, int]):
+    """Each text as little-endian int32 word ids, 0 for rare words, one 0 after every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _vocab_index(token, vocab)
         for b in batches:
-            ids = _ids(b.column("text"), b.column("lang"), vocab)
-            states = ids  # level 1: the state of a word is its id
-            for _ in range(level - 2):
-                states = trie.step(states[:-1], ids[len(ids) - len(states) + 1:])
-            # states[i] covers the level-1 words from i; an Apriori-safe key needs the suffix state frequent too
-            nxt = ids[level - 1:]
-            prefix, suffix = states[:len(nxt)], states[1:len(nxt) + 1]
-            ok = (prefix > 0) & (suffix > 0) & (nxt > 0)
-            keys, counts = np.unique(prefix[ok] * span + nxt[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts.astype(np.int64))],
-                                             ["key", "f"])
+            out = []
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+                known = index.get(lang)
+                words: list[str] = []
+                marks: list[int] = []
+                if text and known is not None:
+                    for piece in _CUT.split(text.translate(_LOWER)):
+                        ws = _WORD.findall(piece)
+                        if ws:
+                            words.extend(ws)
+                            marks.append(len(words))
+                if not marks:
+                    out.append(b"")
+                    continue
+                found = known.get_indexer(words)
+                ids = np.where(found >= 0, found + offsets[lang], 0).astype("<i4")
+                out.append(np.insert(ids, marks, 0).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+
+    return run
+
+
+def _level_counts(trie: TrieLevels, level: int, flush: int = 4_000_000):
+    """Counts per task of (prefix state, next word id) for frequent prefix and suffix states, as (key, f)."""
+    span = trie.span
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting = 0
+
+        def merge(keys, counts, more):
+            joined = np.concatenate([keys, *more])
+            weights = np.concatenate([counts, *[np.ones(len(m), np.int64) for m in more]])
+            uniq, back = np.unique(joined, return_inverse=True)
+            return uniq, np.bincount(back, weights=weights).astype(np.int64)
+
+        for b in batches:
+            for raw in b.column("ids").to_pylist():
+                ids = np.frombuffer(raw, "<i4").astype(np.int64)
+                if len(ids) < level:
+                    continue
+                states = ids  # level 1: the state of a word is its id
+                for lv in range(level - 2):
+                    states = trie.step(states[:-1], ids[lv + 1:], lv)
+                nxt = ids[level - 1:]
+                prefix, suffix = states[:len(nxt)], states[1:len(nxt) + 1]
+                ok = (prefix > 0) & (suffix > 0) & (nxt > 0)
+                if ok.any():
+                    held.append(prefix[ok] * span + nxt[ok])
+                    waiting += int(ok.sum())
+            if waiting > flush:
+                keys, counts = merge(keys, counts, held)
+                held, waiting = [], 0
+        keys, counts = merge(keys, counts, held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "f"])
 
     return run
 
 
 def ngram_counts_trie(docs: DataFrame, words: DataFrame, min_count: int = MIN_COUNT,
                       trie_nodes: int = TRIE_NODES) -> DataFrame | None:
-    """(lang, words, f) as ``ngram_counts_native``, through the trie; None where the trie would pass ``trie_nodes``."""
+    """(lang, words, f) as ``ngram_counts_native``, through the trie; None where it would pass ``trie_nodes``."""
     spark = docs.sparkSession
     frequent = words.where(F.col("f") >= min_count)
-    size = frequent.count()
-    if size > trie_nodes:
+    if frequent.count() > trie_nodes:
         return None
-    # the most frequent words get the least ids, so that children of a state lie close together
-    rows = frequent.orderBy(F.col("f").desc(), "lang", "word").select("lang", "word").collect()
-    vocab: dict[str, dict[str, int]] = {}
-    names = [("", "")]
-    for i, r in enumerate(rows, 1):
-        vocab.setdefault(r.lang, {})[r.word] = i
-        names.append((r.lang, r.word))
-    trie = DoubleArray(len(rows))
-    span = len(rows) + 1
-    source = docs.select(_lang(), F.col("text").cast("string").alias("text"))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (state, first words, counts) per level
+    # ids run language by language; the words go to the tasks with the function (broadcast by PySpark)
+    table_ = frequent.orderBy("lang", F.col("f").desc(), "word").select("lang", "word").toPandas()
+    vocab: dict[str, list[str]] = {}
+    offsets: dict[str, int] = {}
+    at = 1
+    for lang, part in table_.groupby("lang", sort=True):
+        vocab[lang] = part["word"].tolist()
+        offsets[lang] = at
+        at += len(part)
+    ids_of = pd.DataFrame({"lang": [l for l, ws in vocab.items() for _ in ws], "word": [w for ws in vocab.values() for w in ws],
+                           "id": np.arange(1, at, dtype=np.int64)})
+    names = spark.createDataFrame(ids_of)
+    trie = TrieLevels(at - 1)
+    token = uuid.uuid4().hex
+    coded = materialize(docs.select(_lang(), F.col("text").cast("string").alias("text"))
+                        .mapInArrow(_id_rows(token, vocab, offsets), "ids binary"), "collocation-ids")
+    found = []
     for level in range(2, LONGEST + 1):
-        counted = (source.mapInArrow(_level_counts(vocab, trie, level), "key long, f long")
-                   .groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count))
-        # frequent phrases of a level are far fewer than the trie bound, which the count checks first
-        if counted.count() + len(trie.check) > trie_nodes:
+        counted = materialize(coded.mapInArrow(_level_counts(trie, level), "key long, f long")
+                              .groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"collocations-{level}")
+        if counted.count() + trie.size > trie_nodes:
             return None
-        got = counted.orderBy("key").collect()
-        keys = np.asarray([r.key for r in got], np.int64)
-        counts = np.asarray([r.f for r in got], np.int64)
-        states = trie.add_level(keys // span, keys % span)
-        found.append((states, counts))
-    out = []
-    for states, counts in found:
-        for s, f in zip(states.tolist(), counts.tolist()):
-            path = []
-            while s > 0:
-                path.append(int(trie.symbol[s]))
-                s = int(trie.parent[s])
-            path.reverse()
-            out.append((names[path[0]][0], [names[i][1] for i in path], f))
-    return spark.createDataFrame(out, "lang string, words array<string>, f long")
+        keys = np.sort(counted.select("key").toPandas()["key"].to_numpy(np.int64)) if level < LONGEST else None
+        if level > 2:
+            # a state of the level below stands for the key it was made from
+            below, first = trie.levels[-1]
+            prefix_df = spark.createDataFrame(pd.DataFrame({"state": np.arange(len(below), dtype=np.int64) + first,
+                                                            "below": below}))
+            counted = (counted.withColumn("state", F.expr(f"key div {trie.span}"))
+                       .join(prefix_df, "state")
+                       .select(F.col("below").alias("head"), F.expr(f"key % {trie.span}").alias("last"), "f"))
+        else:
+            counted = counted.select(F.col("key").alias("head"), F.lit(None).cast("long").alias("last"), "f")
+        found.append(counted)
+        if keys is not None:
+            trie.add_level(keys)
+    span = trie.span
+    pairs = found[0].select(F.expr(f"head div {span}").alias("i1"), F.expr(f"head % {span}").alias("i2"),
+                            F.lit(None).cast("long").alias("i3"), "f")
+    triples = found[1].select(F.expr(f"head div {span}").alias("i1"), F.expr(f"head % {span}").alias("i2"),
+                              F.col("last").alias("i3"), "f")
+    ids = names.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("word").alias("_word"))
+    out = pairs.unionByName(triples)
+    for i in ("i1", "i2", "i3"):
+        out = (out.join(ids.withColumnsRenamed({"_id": f"_{i}", "_lang": f"{i}_lang", "_word": f"{i}_word"}),
+                        F.col(i) == F.col(f"_{i}"), "left").drop(f"_{i}"))
+    return out.select(F.col("i1_lang").alias("lang"),
+                      F.when(F.col("i3").isNull(), F.array("i1_word", "i2_word"))
+                      .otherwise(F.array("i1_word", "i2_word", "i3_word")).alias("words"), "f")
 
 
 def _score(k: int) -> Column:

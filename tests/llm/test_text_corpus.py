@@ -110,22 +110,20 @@ def test_scores_exact_beyond_64_bits(spark):
     assert df.select(collocations._score(1).alias("s")).first().s == 1_000_000 * a * a // (left * right)
 
 
-def test_double_array_trie():
+def test_trie_levels():
     rng = random.Random(3)
     words = 500
-    trie = collocations.DoubleArray(words)
+    trie = collocations.TrieLevels(words)
     pairs = sorted({(rng.randint(1, words), rng.randint(1, words)) for _ in range(3000)})
-    states = trie.add_level(np.asarray([p for p, _ in pairs]), np.asarray([c for _, c in pairs]))
-    assert len(set(states.tolist())) == len(pairs) and min(states) > words
-    child = dict(zip(pairs, states.tolist()))
+    trie.add_level(np.asarray([p * trie.span + c for p, c in pairs]))
+    child = {pc: words + 1 + i for i, pc in enumerate(pairs)}
     ps = np.asarray([rng.randint(0, words) for _ in range(20000)])
     cs = np.asarray([rng.randint(0, words) for _ in range(20000)])
-    got = trie.step(ps, cs)
-    assert got.tolist() == [child.get((p, c), 0) for p, c in zip(ps.tolist(), cs.tolist())]
-    triples = sorted({(int(child[p]), rng.randint(1, words)) for p in rng.sample(pairs, 200) for _ in range(3)})
-    third = trie.add_level(np.asarray([p for p, _ in triples]), np.asarray([c for _, c in triples]))
-    assert trie.step(np.asarray([p for p, _ in triples]), np.asarray([c for _, c in triples])).tolist() == third.tolist()
-    assert trie.step(ps, cs).tolist() == got.tolist()
+    assert trie.step(ps, cs).tolist() == [child.get((p, c), 0) for p, c in zip(ps.tolist(), cs.tolist())]
+    triples = sorted({(child[p], rng.randint(1, words)) for p in rng.sample(pairs, 200) for _ in range(3)})
+    trie.add_level(np.asarray([p * trie.span + c for p, c in triples]))
+    got = trie.step(np.asarray([p for p, _ in triples]), np.asarray([c for _, c in triples]), 1)
+    assert got.tolist() == list(range(words + 1 + len(pairs), words + 1 + len(pairs) + len(triples)))
 
 
 # --- op12: mixing ---------------------------------------------------------------------------------------------
