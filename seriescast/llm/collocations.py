@@ -9,7 +9,8 @@ shorter parts does (Apriori), so the trie holds only frequent phrases: the frequ
 its first level (state = word id), the frequent word pairs its second.  Texts are turned once into arrays of word
 ids (0 for a rare word and after every piece) and stored; for each level a task advances the states of *all*
 positions of a text at once in numpy, and positions whose prefix state and suffix state are both frequent give a
-key (state, next word).  Keys are counted per task (``np.unique``, merged every few million) and Spark sums the
+key (state, next word).  Keys are counted per task (``np.unique``, merged every two million; ids are read from the Arrow buffers without a
+copy, in slices of a million cut after a piece) and Spark sums the
 shards.  A level's keys are not listed before counting, since candidates joined from frequent parts would pair
 every left with every right neighbour of a common word.
 
@@ -165,7 +166,28 @@ def _id_rows(token: str, vocab: dict[str, list[str]], offsets: dict[str, int]):
     return run
 
 
-def _level_counts(trie: TrieLevels, level: int, flush: int = 4_000_000):
+def _batch_ids(column: pa.Array) -> np.ndarray:
+    """All ids of a batch as one int32 view of the Arrow buffer, no copy: every text ends with a 0."""
+    column = column.cast(pa.large_binary()) if column.type != pa.large_binary() else column
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    if data is None or ends[-1] == ends[0]:
+        return np.empty(0, np.int32)
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view("<i4")
+
+
+def _chunks(ids: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Slices of about ``size`` ids, each ending after a 0, so that no phrase is cut."""
+    start = 0
+    while start < len(ids):
+        end = min(start + size, len(ids))
+        if end < len(ids):
+            end += int(np.argmax(ids[end - 1:] == 0))
+        yield ids[start:end]
+        start = end
+
+
+def _level_counts(trie: TrieLevels, level: int, chunk: int = 1_000_000, flush: int = 2_000_000):
     """Counts per task of (prefix state, next word id) for frequent prefix and suffix states, as (key, f)."""
     span = trie.span
 
@@ -181,10 +203,8 @@ def _level_counts(trie: TrieLevels, level: int, flush: int = 4_000_000):
             return uniq, np.bincount(back, weights=weights).astype(np.int64)
 
         for b in batches:
-            for raw in b.column("ids").to_pylist():
-                ids = np.frombuffer(raw, "<i4").astype(np.int64)
-                if len(ids) < level:
-                    continue
+            for part in _chunks(_batch_ids(b.column("ids")), chunk):
+                ids = part.astype(np.int64)
                 states = ids  # level 1: the state of a word is its id
                 for lv in range(level - 2):
                     states = trie.step(states[:-1], ids[lv + 1:], lv)
@@ -194,9 +214,9 @@ def _level_counts(trie: TrieLevels, level: int, flush: int = 4_000_000):
                 if ok.any():
                     held.append(prefix[ok] * span + nxt[ok])
                     waiting += int(ok.sum())
-            if waiting > flush:
-                keys, counts = merge(keys, counts, held)
-                held, waiting = [], 0
+                if waiting > flush:
+                    keys, counts = merge(keys, counts, held)
+                    held, waiting = [], 0
         keys, counts = merge(keys, counts, held)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "f"])
 
