@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriescast.functions.text import parse_python, to_python
 from seriescast.operators import metrics, split
-from seriescast.plans import additive, recipes, report, search, service
+from seriescast.plans import additive, recipes, report, search, service, shared
 from seriescast.plans import forecast as fc
 from seriescast.plans import training as T
 from seriescast.plans.models import BoostParams, ForestParams
@@ -103,15 +103,18 @@ def direct_forecast_frame(spark, sf):
 
 @query("rf_search")
 def rf_search(spark, sf):
-    space = {"select_max_features": [5], "n_estimators": [5], "max_depth": [3, 5], "min_samples_leaf": [3]}
-    board, _ = search.search(fx.bars(spark, sf), FOREST, search.sample(space, 2), folds=2)
+    """24 candidates on 3 folds by shared fits: 2 forests a fold (one per max_features), cut to 3 depths and 2 counts."""
+    space = {"select_max_features": [5], "n_estimators": [5, 10], "max_depth": [3, 5, None], "min_samples_split": [2, 5],
+             "min_samples_leaf": [3], "max_features": ["sqrt", "0.5"]}
+    board, _ = shared.shared_search(fx.bars(spark, sf), FOREST, search.grid(space), folds=3)
     return board
 
 
 @query("gbt_search")
 def gbt_search(spark, sf):
-    space = {"select_threshold": ["median"], "n_estimators": [3], "max_depth": [2, 3]}
-    board, _ = search.search(fx.bars(spark, sf), BOOST, search.grid(space), folds=2)
+    """8 grid points on 3 folds by shared fits: 4 boosted models a fold, each scored at 3 and 6 rounds."""
+    space = {"select_threshold": ["median"], "n_estimators": [3, 6], "max_depth": [2, 3], "learning_rate": [0.1, 0.3]}
+    board, _ = shared.shared_search(fx.bars(spark, sf), BOOST, search.grid(space), folds=3)
     return board
 
 
