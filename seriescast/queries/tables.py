@@ -8,7 +8,7 @@ from seriescast.operators import align, split
 from seriescast.operators import windows as W
 from seriescast.operators.layout import blocks, own_rows
 from seriescast.operators.metrics import regression_metrics
-from seriescast.plans import report, search
+from seriescast.plans import draws, report, search
 from seriescast.queries.diagnosis import naive
 from seriescast.queries.indicators import SQL_LAST
 from seriescast.queries.registry import (
@@ -290,6 +290,14 @@ def param_sample(spark, sf):
     return search.sample_per_series(series, search.FOREST_SPACE, 10)
 
 
+@query("param_draws", f"""WITH {SYMBOL_BARS}
+{draws.draws_sql("SELECT DISTINCT ticker FROM bars", search.FOREST_SPACE, 10, SEED)}""")
+def param_draws(spark, sf):
+    """Ten distinct draws of the forest space per series by a keyed permutation of grid indices: ten rows each."""
+    series = fx.symbol_bars(spark, sf).select("ticker").distinct()
+    return draws.draws(series, search.FOREST_SPACE, 10, SEED)
+
+
 @query("forecast_export", f"""WITH {SQL_LAST}, {SQL_FUTURE.format(h=5)},
 v AS (SELECT ticker, arg_max(close, ds) AS p FROM bars GROUP BY 1)
 SELECT ticker, 'naive' AS model_used, strftime(ds, '%Y-%m-%d') AS "Fecha", printf('%.4f', p) AS "Prediccion",
