@@ -130,15 +130,15 @@ class TrieLevels:
 _VOCABS: dict[str, dict[str, pd.Index]] = {}
 
 
-def _vocab_index(token: str, vocab: dict[str, list[str]]) -> dict[str, pd.Index]:
+def _vocab_index(token: str, vocab: dict[str, pa.Array]) -> dict[str, pd.Index]:
     """Hash indexes of the words of each language, built once per Python worker."""
     if token not in _VOCABS:
         _VOCABS.clear()
-        _VOCABS[token] = {lang: pd.Index(ws, dtype=object) for lang, ws in vocab.items()}
+        _VOCABS[token] = {lang: pd.Index(ws.to_pylist(), dtype=object) for lang, ws in vocab.items()}
     return _VOCABS[token]
 
 
-def _id_rows(token: str, vocab: dict[str, list[str]], offsets: dict[str, int]):
+def _id_rows(token: str, vocab: dict[str, pa.Array], offsets: dict[str, int]):
     """Each text as little-endian int32 word ids, 0 for rare words, one 0 after every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +188,12 @@ def _chunks(ids: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def _level_counts(trie: TrieLevels, level: int, chunk: int = 1_000_000, flush: int = 2_000_000):
-    """Counts per task of (prefix state, next word id) for frequent prefix and suffix states, as (key, f)."""
+    """Counts per task of (prefix, next word id), as (head, last, f), for frequent prefix and suffix states.
+
+    ``head`` is the first word's id at level 2 and the key of the first two words at level 3.
+    """
     span = trie.span
+    below = trie.levels[-1][0] if level > 2 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -212,70 +216,65 @@ def _level_counts(trie: TrieLevels, level: int, chunk: int = 1_000_000, flush: i
                 prefix, suffix = states[:len(nxt)], states[1:len(nxt) + 1]
                 ok = (prefix > 0) & (suffix > 0) & (nxt > 0)
                 if ok.any():
-                    held.append(prefix[ok] * span + nxt[ok])
+                    # a state of level 2 or more is counted by its place in its level (fewer than the trie bound)
+                    place = prefix[ok] if level == 2 else prefix[ok] - trie.levels[level - 3][1]
+                    held.append(place * span + nxt[ok])
                     waiting += int(ok.sum())
                 if waiting > flush:
                     keys, counts = merge(keys, counts, held)
                     held, waiting = [], 0
         keys, counts = merge(keys, counts, held)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "f"])
+        head = keys // span if below is None else below[keys // span]
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.int64()), pa.array(keys % span, pa.int64()),
+                                          pa.array(counts, pa.int64())], ["head", "last", "f"])
 
     return run
 
 
 def ngram_counts_trie(docs: DataFrame, words: DataFrame, min_count: int = MIN_COUNT,
                       trie_nodes: int = TRIE_NODES) -> DataFrame | None:
-    """(lang, words, f) as ``ngram_counts_native``, through the trie; None where it would pass ``trie_nodes``."""
+    """(lang, words, f) as ``ngram_counts_native``, through the trie; None where it would pass ``trie_nodes``.
+
+    The driver holds the frequent words as Arrow arrays and each level's sorted keys as one numpy array.
+    """
     spark = docs.sparkSession
     frequent = words.where(F.col("f") >= min_count)
     if frequent.count() > trie_nodes:
         return None
     # ids run language by language; the words go to the tasks with the function (broadcast by PySpark)
-    table_ = frequent.orderBy("lang", F.col("f").desc(), "word").select("lang", "word").toPandas()
-    vocab: dict[str, list[str]] = {}
-    offsets: dict[str, int] = {}
-    at = 1
-    for lang, part in table_.groupby("lang", sort=True):
-        vocab[lang] = part["word"].tolist()
-        offsets[lang] = at
-        at += len(part)
-    ids_of = pd.DataFrame({"lang": [l for l, ws in vocab.items() for _ in ws], "word": [w for ws in vocab.values() for w in ws],
-                           "id": np.arange(1, at, dtype=np.int64)})
-    names = spark.createDataFrame(ids_of)
-    trie = TrieLevels(at - 1)
-    token = uuid.uuid4().hex
+    table_ = frequent.orderBy("lang", F.col("f").desc(), "word").select("lang", "word").toArrow()
+    langs = table_.column("lang").combine_chunks().dictionary_encode()
+    codes = langs.indices.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
+    ends = np.r_[starts[1:], len(codes)]
+    word_col = table_.column("word").combine_chunks()
+    vocab = {langs.dictionary[int(codes[a])].as_py(): word_col.slice(a, b - a) for a, b in zip(starts, ends)}
+    offsets = {langs.dictionary[int(codes[a])].as_py(): int(a) + 1 for a in starts}
+    names = spark.createDataFrame(pa.table({"id": pa.array(np.arange(1, len(codes) + 1, dtype=np.int64)),
+                                            "lang": table_.column("lang"), "word": table_.column("word")}))
+    trie = TrieLevels(len(codes))
     coded = materialize(docs.select(_lang(), F.col("text").cast("string").alias("text"))
-                        .mapInArrow(_id_rows(token, vocab, offsets), "ids binary"), "collocation-ids")
+                        .mapInArrow(_id_rows(uuid.uuid4().hex, vocab, offsets), "ids binary"), "collocation-ids")
+    del table_, word_col
     found = []
     for level in range(2, LONGEST + 1):
-        counted = materialize(coded.mapInArrow(_level_counts(trie, level), "key long, f long")
-                              .groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), f"collocations-{level}")
+        counted = materialize(coded.mapInArrow(_level_counts(trie, level), "head long, last long, f long")
+                              .groupBy("head", "last").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count),
+                              f"collocations-{level}")
         if counted.count() + trie.size > trie_nodes:
             return None
-        keys = np.sort(counted.select("key").toPandas()["key"].to_numpy(np.int64)) if level < LONGEST else None
-        if level > 2:
-            # a state of the level below stands for the key it was made from
-            below, first = trie.levels[-1]
-            prefix_df = spark.createDataFrame(pd.DataFrame({"state": np.arange(len(below), dtype=np.int64) + first,
-                                                            "below": below}))
-            counted = (counted.withColumn("state", F.expr(f"key div {trie.span}"))
-                       .join(prefix_df, "state")
-                       .select(F.col("below").alias("head"), F.expr(f"key % {trie.span}").alias("last"), "f"))
-        else:
-            counted = counted.select(F.col("key").alias("head"), F.lit(None).cast("long").alias("last"), "f")
         found.append(counted)
-        if keys is not None:
-            trie.add_level(keys)
+        if level < LONGEST:
+            keys = counted.select((F.col("head") * trie.span + F.col("last")).alias("k")).toArrow().column("k")
+            trie.add_level(np.sort(keys.to_numpy()))
     span = trie.span
-    pairs = found[0].select(F.expr(f"head div {span}").alias("i1"), F.expr(f"head % {span}").alias("i2"),
-                            F.lit(None).cast("long").alias("i3"), "f")
+    pairs = found[0].select(F.col("head").alias("i1"), F.col("last").alias("i2"), F.lit(None).cast("long").alias("i3"), "f")
     triples = found[1].select(F.expr(f"head div {span}").alias("i1"), F.expr(f"head % {span}").alias("i2"),
                               F.col("last").alias("i3"), "f")
-    ids = names.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("word").alias("_word"))
     out = pairs.unionByName(triples)
     for i in ("i1", "i2", "i3"):
-        out = (out.join(ids.withColumnsRenamed({"_id": f"_{i}", "_lang": f"{i}_lang", "_word": f"{i}_word"}),
-                        F.col(i) == F.col(f"_{i}"), "left").drop(f"_{i}"))
+        out = out.join(names.select(F.col("id").alias(f"_{i}"), F.col("lang").alias(f"{i}_lang"), F.col("word").alias(f"{i}_word")),
+                       F.col(i) == F.col(f"_{i}"), "left").drop(f"_{i}")
     return out.select(F.col("i1_lang").alias("lang"),
                       F.when(F.col("i3").isNull(), F.array("i1_word", "i2_word"))
                       .otherwise(F.array("i1_word", "i2_word", "i3_word")).alias("words"), "f")
