@@ -248,10 +248,12 @@ def ngram_counts_trie(docs: DataFrame, words: DataFrame, min_count: int = MIN_CO
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
     ends = np.r_[starts[1:], len(codes)]
     word_col = table_.column("word").combine_chunks()
-    vocab = {langs.dictionary[int(codes[a])].as_py(): word_col.slice(a, b - a) for a, b in zip(starts, ends)}
+    # taken, not sliced: a pickled slice carries its whole parent buffer
+    vocab = {langs.dictionary[int(codes[a])].as_py(): word_col.take(pa.array(np.arange(a, b))) for a, b in zip(starts, ends)}
     offsets = {langs.dictionary[int(codes[a])].as_py(): int(a) + 1 for a in starts}
-    names = spark.createDataFrame(pa.table({"id": pa.array(np.arange(1, len(codes) + 1, dtype=np.int64)),
-                                            "lang": table_.column("lang"), "word": table_.column("word")}))
+    # the same ids in Spark, so that no table of words is made on the driver (one task: at most TRIE_NODES rows)
+    names = frequent.select("lang", "word", F.row_number().over(
+        Window.orderBy("lang", F.col("f").desc(), "word")).cast("long").alias("id"))
     trie = TrieLevels(len(codes))
     coded = materialize(docs.select(_lang(), F.col("text").cast("string").alias("text"))
                         .mapInArrow(_id_rows(uuid.uuid4().hex, vocab, offsets), "ids binary"), "collocation-ids")
