@@ -14,7 +14,11 @@ searched by the sorted-list method:
 * the edit rows of a candidate are kept by depth and reused for the next candidate up to their common prefix
   (adjacent LCPs), and only cells within one of the diagonal are kept (banded, capped at 2);
 * where a row is above 1 everywhere, every word with that prefix is out, and the scan jumps to the first word
-  with a shorter common prefix (a table of those jumps is built once per group).
+  with a shorter common prefix (a table of those jumps is built once per group);
+* in the groups by last letters only pairs with the edit among the first 3 code points are wanted (the others
+  share their first 3); reversed, they share all but 4 code points of the shorter word, so the scan from a word
+  ends at the jump for that prefix: without it this grouping cost as much as the first (check tool, d788077:
+  1470 CPU s a GB projected, budget 960).
 
 A word's form is its near word of largest n (ties: least in code-point order) if that n >= ``FORM_RATIO`` times its
 own; its root follows forms to the end (pointer doubling by joins: each step multiplies n by 10, so chains are
@@ -77,8 +81,12 @@ def _jumps(words: list[str], lcp: np.ndarray, longest: int) -> np.ndarray:
     return jump
 
 
-def near_pairs_sorted(words: list[str]) -> list[tuple[str, str]]:
-    """Pairs (w, v), w before v in code-point order, of words of the list at edit distance exactly one."""
+def near_pairs_sorted(words: list[str], least: int | None = None) -> list[tuple[str, str]]:
+    """Pairs (w, v), w before v in code-point order, of words of the list at edit distance exactly one.
+
+    ``least``: only pairs whose common prefix is at least len(w) - ``least`` are wanted; the scan from w then ends
+    where that prefix ends (a jump), instead of at the end of the list.
+    """
     words = sorted(set(words))
     n = len(words)
     if n < 2:
@@ -100,7 +108,8 @@ def near_pairs_sorted(words: list[str]) -> list[tuple[str, str]]:
         rows = [(FAR, 0, 1 if m >= 1 else FAR)]
         j = i + 1
         shared = lcp[j]  # common prefix of the rows kept and the current candidate
-        while j < n:
+        stop = int(jump[i, m - least]) if least is not None and m - least > 0 else n
+        while j < stop:
             v = words[j]
             del rows[shared + 1:]
             dead = 0
@@ -134,7 +143,9 @@ def near_pairs_sorted(words: list[str]) -> list[tuple[str, str]]:
 def _group_pairs(reverse: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ws = pdf["word"].tolist()
-        found = near_pairs_sorted([w[::-1] for w in ws] if reverse else ws)
+        # a pair only this grouping finds has its edit among the first KEY code points, so reversed, the two
+        # share all but the last KEY + 1 code points of the shorter: the scan ends where that prefix ends
+        found = near_pairs_sorted([w[::-1] for w in ws], KEY + 1) if reverse else near_pairs_sorted(ws)
         if reverse:
             found = [(a[::-1], b[::-1]) for a, b in found]
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)

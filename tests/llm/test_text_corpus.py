@@ -286,6 +286,19 @@ def test_sorted_list_search_finds_every_near_pair(words):
     assert sorted(found) == sorted((a, b) for i, a in enumerate(ws) for b in ws[i + 1:] if edit_one(a, b))
 
 
+@given(st.lists(st.text(alphabet="abc", min_size=7, max_size=10), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_both_groupings_with_the_bounded_tail_scan_find_every_pair(words):
+    ws = sorted(set(words))
+    found = set()
+    for key in {w[:spelling.KEY] for w in ws}:
+        found |= set(spelling.near_pairs_sorted([w for w in ws if w[:spelling.KEY] == key]))
+    for key in {w[-spelling.KEY:] for w in ws}:
+        tail = [w[::-1] for w in ws if w[-spelling.KEY:] == key]
+        found |= {tuple(sorted((a[::-1], b[::-1]))) for a, b in spelling.near_pairs_sorted(tail, spelling.KEY + 1)}
+    assert found == {(a, b) for i, a in enumerate(ws) for b in ws[i + 1:] if edit_one(a, b)}
+
+
 def test_variants_small_against_brute_force(spark):
     base = "colour colours coloured neighbour neighbours neighbor Straße Mañana mañanas"
     rows = ([(i, "Colour neighbour recognise recognize " * 3) for i in range(40)]
