@@ -357,7 +357,30 @@ def test_search_against_brute_force(spark, monkeypatch):
         scores = {i: round(sum(part[i, w] * idf[w] for w in terms if w in c), 6) for i, c in tf.items() if any(w in c for w in terms)}
         for place, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10], 1):
             want[q, place] = (i, s)
-    got = {(r.query_id, r.place): (r.doc_id, r.score) for r in search.search_documents(table(spark, rows)).collect()}
+    got = {(r.query_id, r.place): (r.doc_id, r.score) for r in search.search_documents(table(spark, rows), most=12).collect()}
     assert got.keys() == want.keys() and len(got) > 40
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
     assert search.search_documents(table(spark, [])).collect() == []
+
+
+def test_search_asks_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 16)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(20, 80)))) for i in range(1, 150)]
+    rows += [(0, " ".join(f"a{i:02d}" for i in range(30))), (500, "a29 a28"), (501, "a29"), (520, "alone"), (540, ""), (560, None)]
+    tf = {i: Counter(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in rows}
+    n, mean = len(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
+    df = Counter(w for c in tf.values() for w in c)
+    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    want = {}
+    for q in (i for i in tf if i % 20 == 0):
+        scores = {i: round(sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in tf[q] if w in c), 6)
+                  for i, c in tf.items() if any(w in c for w in tf[q])}
+        for place, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10], 1):
+            want[q, place] = (i, s)
+    got = {(r.query_id, r.place): (r.doc_id, r.score) for r in search.search_documents(table(spark, rows)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
+    # by words past the 12 greatest, and by a word no other document has
+    assert {got[0, p][0] for p in (1, 2, 3)} == {0, 500, 501} and got[520, 1][0] == 520
