@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -299,6 +300,27 @@ def test_both_groupings_with_the_bounded_tail_scan_find_every_pair(words):
     assert found == {(a, b) for i, a in enumerate(ws) for b in ws[i + 1:] if edit_one(a, b)}
 
 
+@given(st.lists(st.text(alphabet="abc", min_size=7, max_size=10), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_groups_of_half_words_find_every_pair(words):
+    ws = sorted(set(words))
+    rows = [(side, m, w[::-1] if side else w) for w in ws for m in (len(w), len(w) - 1) for side in (0, 1) if m >= 7]
+    got = spelling._group_pairs(pd.DataFrame(rows, columns=["side", "m", "word"]))
+    assert ({tuple(sorted(p)) for p in zip(got["a"], got["b"])}
+            == {(a, b) for i, a in enumerate(ws) for b in ws[i + 1:] if edit_one(a, b)})
+
+
+def test_words_of_one_beginning_and_end_are_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "BUCKET", 100)
+    rng = random.Random(17)
+    words = sorted({"pre" + "".join(rng.choices("abcdefgh", k=6)) + "ing" for _ in range(500)})
+    placed = spelling.members(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert placed.count() == 4 * len(words)
+    assert max(r["count"] for r in placed.groupBy("g").count().collect()) < len(words)
+    near = {tuple(r) for r in spelling.near_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert near == {(a, b) for a in words for b in words if edit_one(a, b)}
+
+
 def test_variants_small_against_brute_force(spark):
     base = "colour colours coloured neighbour neighbours neighbor Straße Mañana mañanas"
     rows = ([(i, "Colour neighbour recognise recognize " * 3) for i in range(40)]
