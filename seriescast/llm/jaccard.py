@@ -4,7 +4,8 @@ Sets that are equal are one set with a weight.  Each run sends every set down a
 function (and, one time in four, a second one, so that 1 / 0.8 children are expected) and hands the set to the
 child of its smallest shingle; sets that share many shingles share paths.  Buckets of a few sets are compared all
 with all by their signatures; larger ones first compare every set with one pivot, drop those that nearly equal
-it, whose other links the pivot has too, and split the rest further.  Runs repeat until the chance of losing a
+it, whose other links the pivot has too, and split the rest further.  Buckets of sets that are linked to one pivot
+already end there, as they join nothing.  Runs repeat until the chance of losing a
 pair of exactly the threshold is below the target.
 
 The links so found only say which sets belong together.  All pairs within a component are then verified by exact
@@ -161,9 +162,11 @@ def _split(jaccard: float):
             linked = (agree >= ESTIMATE) & (keys != pivot)
             on = np.flatnonzero((agree < SAME) | (keys == pivot))
             rows, down = children(paths[on], sigs[on], jaccard)
+            label = b.column("label").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([keys[linked], keys[on][rows]])), pa.array(np.concatenate([pivot[linked], down])),
-                 pa.array(np.arange(linked.sum() + len(rows)) < linked.sum())], ["key", "to", "is_link"])
+                 pa.array(np.concatenate([label[linked], label[on][rows]])),
+                 pa.array(np.arange(linked.sum() + len(rows)) < linked.sum())], ["key", "to", "label", "is_link"])
 
     return run
 
@@ -201,18 +204,30 @@ def _compare(bucket: pa.Table) -> pa.Table:
     return pa.table({"a": keys[some], "b": keys[root[some]]})
 
 
+def _only(sigs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The signatures of the keys in ``rows``, stored: joins on each level then move these alone."""
+    keys = materialize(rows.select("key").distinct(), "keys")
+    few = keys.count() <= BROADCAST_SETS
+    return materialize(sigs.join(F.broadcast(keys) if few else keys, "key", "left_semi"), name)
+
+
 def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) between keys of ``sets`` (key, sig) that the tree finds."""
+    """Links (a, b) between keys of ``sets`` (key, sig) that the tree finds.
+
+    A set's label is the least set it is linked to so far, or itself.  Sets of one label are already together, so
+    buckets of a single label can't join anything and end.
+    """
     sigs = sets.select("key", "sig")
-    rows = sigs.mapInArrow(_roots(runs, jaccard), "key long, path long")
+    rows = materialize(sigs.mapInArrow(_roots(runs, jaccard), "key long, path long"), "paths").withColumn("label", F.col("key"))
     leaves, links = [], []
     for level in range(1, depth + 1):
-        if level == 1:
-            rows = materialize(rows, "paths")
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).filter("size > 1")
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot"), F.min("label").alias("least"),
+                                         F.max("label").alias("most")).filter("size > 1 AND least < most").drop("least", "most")
         rows = materialize(rows.join(sizes, "path"), "buckets")
         leaves.append(rows.filter(F.col("size") <= leaf).select("path", "key", F.lit(0).alias("cell")))
         big = rows.filter(F.col("size") > leaf)
+        if level == 1:
+            sigs = _only(sigs, rows, "bucket-signatures")
         if big.isEmpty():
             break
         if level == depth:  # what no split takes apart is compared block by block
@@ -221,11 +236,16 @@ def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF
             leaves.append(big.select("path", "key", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: (
                 F.least(own, o) * blocks + F.greatest(own, o) + 1).cast("int"))).alias("cell")))
             break
-        pivots = sigs.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig"))
-        known = big.join(sigs, "key").join(pivots, "pivot")
-        moved = materialize(known.mapInArrow(_split(jaccard), "key long, to long, is_link boolean"), "moved")
-        links.append(moved.filter("is_link").select(F.col("key").alias("a"), F.col("to").alias("b")))
-        rows = moved.filter("NOT is_link").select("key", F.col("to").alias("path"))
+        if level == 1:  # the sets of later levels are among these
+            split = _only(sigs, big, "split-signatures")
+        pivots = split.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig"))
+        known = big.join(split, "key").join(pivots, "pivot")
+        moved = materialize(known.mapInArrow(_split(jaccard), "key long, to long, label long, is_link boolean"), "moved")
+        new = moved.filter("is_link").select(F.col("key").alias("a"), F.col("to").alias("b"))
+        links.append(new)
+        linked = new.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("linked"))
+        rows = moved.filter("NOT is_link").join(linked, "key", "left").select(
+            "key", F.col("to").alias("path"), F.least("label", "linked").alias("label"))
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)

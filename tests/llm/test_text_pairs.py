@@ -306,6 +306,25 @@ def test_jaccard_classes(spark, monkeypatch, leaf, depth):
     assert Counter((r.doc_id, r["first"].doc_id) for r in got) == Counter((i, first[c]) for (i, _), (c, _) in zip(rows, want))
 
 
+def test_buckets_of_one_class_end(spark, monkeypatch):
+    rng = random.Random(16)
+    base = sentence(rng, 150).split()
+    rows = []
+    for i in range(120):
+        v = list(base)
+        for _ in range(2):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(v)))
+    sets = jaccard.texts(table(spark, rows)).withColumn("digest", jaccard.digest()).mapInArrow(jaccard._sign(), jaccard.SIGNED)
+    sets = jaccard.materialize(sets.select("key", "sig"), "sets")
+    kept, stored = jaccard.materialize, []
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: stored.append((name, kept(df, name))) or stored[-1][1])
+    links = jaccard.candidate_links(sets, 0.8, 10, leaf=8, depth=6)
+    assert len({r.root for r in components.components(links).collect()}) == 1
+    after = [df.count() for name, df in stored if name == "buckets"]
+    assert sum(after[1:]) < after[0] / 2, after
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(table(spark, [])).collect() == []
     assert len(jaccard.jaccard_classes(table(spark, [(1, None), (1, None)])).collect()) == 2
