@@ -162,10 +162,10 @@ def _split(jaccard: float):
             linked = (agree >= ESTIMATE) & (keys != pivot)
             on = np.flatnonzero((agree < SAME) | (keys == pivot))
             rows, down = children(paths[on], sigs[on], jaccard)
-            label = b.column("label").to_numpy()
+            label, of_pivot = b.column("label").to_numpy(), b.column("pivot_label").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([keys[linked], keys[on][rows]])), pa.array(np.concatenate([pivot[linked], down])),
-                 pa.array(np.concatenate([label[linked], label[on][rows]])),
+                 pa.array(np.concatenate([of_pivot[linked], label[on][rows]])),
                  pa.array(np.arange(linked.sum() + len(rows)) < linked.sum())], ["key", "to", "label", "is_link"])
 
     return run
@@ -214,7 +214,7 @@ def _only(sigs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) between keys of ``sets`` (key, sig) that the tree finds.
 
-    A set's label is the least set it is linked to so far, or itself.  Sets of one label are already together, so
+    A set's label is the least set that links lead to so far, through pivots' labels, or itself.  Sets of one label are already together, so
     buckets of a single label can't join anything and end.
     """
     sigs = sets.select("key", "sig")
@@ -222,7 +222,7 @@ def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF
     leaves, links = [], []
     for level in range(1, depth + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot"), F.min("label").alias("least"),
-                                         F.max("label").alias("most")).filter("size > 1 AND least < most").drop("least", "most")
+                                         F.max("label").alias("most"), F.min_by("label", "key").alias("pivot_label")).filter("size > 1 AND least < most").drop("least", "most")
         rows = materialize(rows.join(sizes, "path"), "buckets")
         leaves.append(rows.filter(F.col("size") <= leaf).select("path", "key", F.lit(0).alias("cell")))
         big = rows.filter(F.col("size") > leaf)
@@ -241,9 +241,9 @@ def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF
         pivots = split.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig"))
         known = big.join(split, "key").join(pivots, "pivot")
         moved = materialize(known.mapInArrow(_split(jaccard), "key long, to long, label long, is_link boolean"), "moved")
-        new = moved.filter("is_link").select(F.col("key").alias("a"), F.col("to").alias("b"))
-        links.append(new)
-        linked = new.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("linked"))
+        new = moved.filter("is_link")
+        links.append(new.select(F.col("key").alias("a"), F.col("to").alias("b")))
+        linked = new.groupBy("key").agg(F.min("label").alias("linked"))
         rows = moved.filter("NOT is_link").join(linked, "key", "left").select(
             "key", F.col("to").alias("path"), F.least("label", "linked").alias("label"))
     every = leaves[0]
