@@ -4,9 +4,9 @@ Sets that are equal are one set with a weight.  Each run sends every set down a
 function (and, one time in four, a second one, so that 1 / 0.8 children are expected) and hands the set to the
 child of its smallest shingle; sets that share many shingles share paths.  Buckets of a few sets are compared all
 with all by their signatures; larger ones first compare every set with one pivot, drop those that nearly equal
-it, whose other links the pivot has too, and split the rest further.  Buckets of sets that are linked to one pivot
-already end there, as they join nothing.  Runs repeat until the chance of losing a
-pair of exactly the threshold is below the target.
+it, whose other links the pivot has too, and split the rest further.  Sets that are linked to one pivot already
+need no comparison among themselves: buckets of these alone end there, and those with few others end with these
+compared to all.  Runs repeat until the chance of losing a pair of exactly the threshold is below the target.
 
 The links so found only say which sets belong together.  All pairs within a component are then verified by exact
 similarity, in cells of bounded size that give counts and spanning links, never pairs.  So links are counted
@@ -34,6 +34,8 @@ JACCARD = 0.8
 RECALL = 0.999
 SIGNATURE = 64
 LEAF = 256
+#: Sets of one label that fewer than LEAF others are compared to at once.
+WIDE = 16 * LEAF
 DEPTH = 10
 #: Pairs whose signatures agree less are not linked: four standard deviations below the threshold.
 ESTIMATE = JACCARD - 4 * math.sqrt(JACCARD * (1 - JACCARD) / SIGNATURE)
@@ -196,12 +198,15 @@ def _spanning(near: np.ndarray) -> np.ndarray:
 
 
 def _compare(bucket: pa.Table) -> pa.Table:
-    """Spanning links of a small bucket by its signatures."""
-    keys, sigs = bucket.column("key").to_numpy(), _signatures(bucket.column("sig"))
-    near = np.stack([(sigs == s).mean(axis=1) >= ESTIMATE for s in sigs])
-    root = _spanning(near)
+    """Spanning links between the labels of a bucket by its signatures; pairs of the commonest label need none."""
+    labels, at, times = np.unique(bucket.column("label").to_numpy(), return_inverse=True, return_counts=True)
+    sigs, joined = _signatures(bucket.column("sig")), _Sets(len(labels))
+    for i in np.flatnonzero(at != times.argmax()):
+        for j in np.unique(at[(sigs == sigs[i]).mean(axis=1) >= ESTIMATE]):
+            joined.join(int(at[i]), int(j))
+    root = np.array([joined.root(i) for i in range(len(labels))], np.int64)
     some = root != np.arange(len(root))
-    return pa.table({"a": keys[some], "b": keys[root[some]]})
+    return pa.table({"a": labels[some], "b": labels[root[some]]})
 
 
 def _only(sigs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
@@ -211,21 +216,35 @@ def _only(sigs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return materialize(sigs.join(F.broadcast(keys) if few else keys, "key", "left_semi"), name)
 
 
+def _sizes(rows: DataFrame, level: int) -> DataFrame:
+    """(path, size, pivot, pivot_label, most, common) of buckets with several labels; ``most`` sets have the label ``common``."""
+    first = F.min(F.struct("key", "label")).alias("first")
+    if level == 1:  # every set is its own label
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), first, F.lit(1).cast("long").alias("most"), F.min("label").alias("common"))
+    else:
+        sizes = rows.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).groupBy("path").agg(
+            F.sum("n").alias("size"), first, F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("common"))
+    return sizes.filter("size > most").select("path", "size", F.col("first.key").alias("pivot"), F.col("first.label").alias("pivot_label"), "most", "common")
+
+
 def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) between keys of ``sets`` (key, sig) that the tree finds.
 
     A set's label is the least set that links lead to so far, through pivots' labels, or itself.  Sets of one label are already together, so
-    buckets of a single label can't join anything and end.
+    buckets of a single label can't join anything and end; so do those where fewer than ``leaf`` sets have another label than the commonest:
+    these are compared with all, which is cut into blocks.
     """
     sigs = sets.select("key", "sig")
     rows = materialize(sigs.mapInArrow(_roots(runs, jaccard), "key long, path long"), "paths").withColumn("label", F.col("key"))
     leaves, links = [], []
     for level in range(1, depth + 1):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot"), F.min("label").alias("least"),
-                                         F.max("label").alias("most"), F.min_by("label", "key").alias("pivot_label")).filter("size > 1 AND least < most").drop("least", "most")
-        rows = materialize(rows.join(sizes, "path"), "buckets")
-        leaves.append(rows.filter(F.col("size") <= leaf).select("path", "key", F.lit(0).alias("cell")))
-        big = rows.filter(F.col("size") > leaf)
+        rows = materialize(rows.join(_sizes(rows, level), "path"), "buckets")
+        blocks = F.ceil(F.col("size") / max(leaf, WIDE)).cast("int")
+        own = F.array(F.pmod(F.xxhash64("key"), blocks).cast("int"))
+        common = F.col("label") == F.col("common")
+        leaves.append(rows.filter(F.col("size") - F.col("most") < leaf).select(
+            "path", "key", "label", F.explode(F.when(common, own).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("cell")))
+        big = rows.filter(F.col("size") - F.col("most") >= leaf)
         if level == 1:
             sigs = _only(sigs, rows, "bucket-signatures")
         if big.isEmpty():
@@ -233,7 +252,7 @@ def candidate_links(sets: DataFrame, jaccard: float, runs: int, leaf: int = LEAF
         if level == depth:  # what no split takes apart is compared block by block
             blocks = F.ceil(F.col("size") / leaf).cast("int")
             own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-            leaves.append(big.select("path", "key", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: (
+            leaves.append(big.select("path", "key", "label", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: (
                 F.least(own, o) * blocks + F.greatest(own, o) + 1).cast("int"))).alias("cell")))
             break
         if level == 1:  # the sets of later levels are among these

@@ -325,6 +325,38 @@ def test_buckets_of_one_class_end(spark, monkeypatch):
     assert sum(after[1:]) < after[0] / 2, after
 
 
+def test_buckets_of_one_class_and_few_others_end(spark, monkeypatch):
+    rng = random.Random(17)
+    base = sentence(rng, 150).split()
+    near = []
+    for _ in range(150):
+        v = list(base)
+        for _ in range(2):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(10 ** 6)}"
+        near.append(" ".join(v))
+    others = [" ".join(base[:110] + [f"y{rng.randrange(10 ** 6)}" for _ in range(80)]) for _ in range(30)]
+    rows = list(enumerate(near + others))
+    monkeypatch.setattr(jaccard, "WIDE", 16, raising=False)  # several blocks
+    kept, stored = jaccard.materialize, []
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: stored.append((name, kept(df, name))) or stored[-1][1])
+    links = jaccard.candidate_links
+    monkeypatch.setattr(jaccard, "candidate_links", lambda s, j, r: links(s, j, r, leaf=16, depth=8))
+    got = {r.doc_id: (r["first"].doc_id, r.n_links) for r in jaccard.jaccard_classes(table(spark, rows)).collect()}
+    want = brute_classes(rows)
+    first = {c: min(i for (i, _), (d, _) in zip(rows, want) if d == c) for c, _ in want}
+    assert got == {i: (first[c], n) for (i, _), (c, n) in zip(rows, want)}
+    after = [df.count() for name, df in stored if name == "buckets"]
+    assert len(after) <= 4 and sum(after) < 2 * after[0], after
+
+
+def test_compare_joins_labels():
+    rng = np.random.default_rng(18)
+    sig = rng.integers(0, 1 << 32, (4, jaccard.SIGNATURE)).astype("<u4")
+    bucket = jaccard.pa.table({"key": [1, 2, 3, 4, 5], "label": [1, 1, 3, 4, 5], "sig": [sig[k].tobytes() for k in (0, 1, 1, 2, 2)]})
+    found = jaccard._compare(bucket)
+    assert sorted(zip(found["a"].to_pylist(), found["b"].to_pylist())) == [(3, 1), (5, 4)]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(table(spark, [])).collect() == []
     assert len(jaccard.jaccard_classes(table(spark, [(1, None), (1, None)])).collect()) == 2
