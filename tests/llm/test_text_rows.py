@@ -184,6 +184,20 @@ def test_toxicity_shards_average(spark):
     assert at.tolist() == again[0].tolist() and np.allclose(weight, again[1])
 
 
+def test_toxicity_state_comes_as_columns(spark, monkeypatch):
+    """A Row for each of 262,145 buckets took 100 MB of the driver's memory and more."""
+    docs = spark.createDataFrame([(i, t) for i, t, _ in toy()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in toy()], "doc_id long, toxic int")
+    want = toxicity.train(toxicity.learn_from(docs, labels))
+
+    def rows(self):
+        raise AssertionError("rows were collected")
+
+    monkeypatch.setattr(type(docs), "collect", rows)
+    at, weight = toxicity.train(toxicity.learn_from(docs, labels))
+    assert len(at) and at.tolist() == want[0].tolist() and weight.tolist() == want[1].tolist()
+
+
 def test_toxicity_stage(spark):
     docs = documents(spark)
     kept = toxicity.stage_toxicity(spark, docs, SF)
