@@ -5,9 +5,11 @@ import itertools
 import math
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,3 +437,46 @@ def test_search_asks_whole_texts(spark, monkeypatch):
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
     # by words past the 12 greatest, and by a word no other document has
     assert {got[0, p][0] for p in (1, 2, 3)} == {0, 500, 501} and got[520, 1][0] == 520
+
+
+def test_search_shards_give_what_reaches_the_score_found_before(spark, monkeypatch, tmp_path):
+    """Rows that the shards make grow with the queries, not with queries x shards."""
+    monkeypatch.setattr(search, "SHARD_DOCS", 32)
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(20, 80)))) for i in range(27 * 32)]
+    made, inner = str(tmp_path), search._search
+
+    def counted(*args):
+        run = inner(*args)
+
+        def counting(docs, queries):
+            out = run(docs, queries)
+            with open(f"{made}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(out.num_rows))
+            return out
+
+        return counting
+
+    monkeypatch.setattr(search, "_search", counted)
+    got = [tuple(r) for r in search.search_documents(table(spark, rows)).select("query_id", "place", "doc_id", "score").collect()]
+    asked = sum(i % 20 == 0 for i, _ in rows)
+    assert len(got) == 10 * asked
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) < 100 * asked
+    monkeypatch.setattr(search, "SHARD_DOCS", 10_000)
+    once = search.search_documents(table(spark, rows)).select("query_id", "place", "doc_id", "score").collect()
+    assert sorted(got) == sorted(tuple(r) for r in once)
+
+
+def test_packs_hold_queries_and_their_terms():
+    rows = [(7, "b", 3), (7, "a", 2), (9, "a", 2), (7, "a", 2), (-1, "c", 1)]
+    packed = search._pack(pa.table({"pack": [4] * 5, "query_id": [q for q, _, _ in rows], "term": [t for _, t, _ in rows], "df": [d for *_, d in rows]}))
+    (p,) = packed.to_pylist()
+    terms, numbers, at, got = p["terms"].split(" "), np.frombuffer(p["numbers"], np.uint16), 0, {}
+    for q, size in zip(p["query_ids"], p["sizes"]):
+        got[q], at = {(terms[i], p["dfs"][i]) for i in numbers[at:at + size]}, at + size
+    assert p["pack"] == 4 and got == {-1: {("c", 1)}, 7: {("a", 2), ("b", 3)}, 9: {("a", 2)}}
+
+
+def test_words_of_search():
+    for text in ["".join(map(chr, range(128))), "a_b__C d\x1ce\x85f", "É_É İx ß_1²٣ ǅ", "x́y _ __", ""] + [f"Ab{chr(c)}9z" for c in range(0x3000)]:
+        assert search.words(text) == re.findall(r"[^\W_]+", text.lower())
