@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,34 @@ def test_collocations_beyond_the_trie_bound_is_exact(spark):
     assert spark_rows(collocations.collocations(docs, trie_nodes=10)) == spark_rows(collocations.collocations(docs))
 
 
+def test_collocations_with_more_pairs_than_the_trie_holds_count_no_windows(spark, monkeypatch):
+    docs = documents(spark)
+    want = spark_rows(collocations.collocations(docs, use_trie=False))
+    words = collocations.word_counts(docs).where(F.col("f") >= collocations.MIN_COUNT).count()
+
+    def never(*args):
+        raise AssertionError("every window was counted")
+
+    monkeypatch.setattr(collocations, "ngram_counts_native", never)
+    assert spark_rows(collocations.collocations(docs, trie_nodes=words + 1)) == want
+
+
+def test_slices_of_texts_hold_their_words_and_pieces(monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 8)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aBé .\t;\n\x00\xa0") for _ in range(rng.randrange(14))) for _ in range(400)] + [None, "", "a", "a b."]
+    got = [[] for _ in texts]
+    for first, before, words, code, last in collocations._slices(pa.array([None, *texts])[1:]):
+        found = words.take(pa.array(code)).to_pylist()
+        for at, (a, e) in enumerate(zip(before, before[1:]), first):
+            got[at] = list(zip(found[a:e], last[a:e].tolist()))
+    want = []
+    for text in texts:
+        pieces = [re.findall(r"[^ \t]+", p) for p in re.split(r"[.,;:!?\n\x0b\x0c\r]", (text or "").replace("B", "b"))]
+        want.append([(w, i == len(p)) for p in pieces for i, w in enumerate(p, 1)])
+    assert got == want
+
+
 def test_collocations_empty_table(spark):
     assert collocations.collocations(frame(spark, [])).count() == 0
     assert collocations.collocations(frame(spark, [(1, None, None, None)])).count() == 0
